@@ -37,7 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report_id, filename, text, as they would arrive."""
-    documents = spread_input(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_endings(spread_input(documents, "doc_id"))
+
+
+def with_endings(documents: DataFrame) -> DataFrame:
     ending = F.get(
         F.array(*[F.lit(e) for e in ENDINGS]), F.pmod("doc_id", F.lit(len(ENDINGS))).cast("int")
     )

@@ -104,8 +104,8 @@ CORPUS = (
     "corpus AS (SELECT doc_id AS report_id, 'report-' || doc_id || '.txt' AS filename, "
     f"text || chr(10) || CASE doc_id % {len(ENDINGS)} {_case} END AS text FROM documents)"
 )
-NORM = f"norm AS (SELECT report_id, filename, {refang(clean('text'))} AS text FROM corpus)"
-LOW = "lowered AS (SELECT *, lower(text) AS low FROM norm)"
+NORM = f"norm AS MATERIALIZED (SELECT report_id, filename, {refang(clean('text'))} AS text FROM corpus)"
+LOW = "lowered AS MATERIALIZED (SELECT *, lower(text) AS low FROM norm)"
 
 
 def ioc_ctes(source: str) -> list[str]:
@@ -119,7 +119,7 @@ def ioc_ctes(source: str) -> list[str]:
         f"found AS (SELECT *, {found} FROM {source})",
         f"first_seen AS (SELECT *, {lists} FROM found)",
         f"trimmed AS (SELECT *, list_transform(urls_whole, lambda u: regexp_replace(u, {q(tail)}, '')) AS urls FROM first_seen)",
-        "iocs AS (SELECT *, list_filter(domains_any, lambda d: NOT contains("
+        "iocs AS MATERIALIZED (SELECT *, list_filter(domains_any, lambda d: NOT contains("
         "lower(array_to_string(list_concat(urls, emails), ' ')), lower(d))) AS domains FROM trimmed)",
     ]
 
@@ -193,7 +193,7 @@ def severity_ctes(source: str) -> list[str]:
         f"list_filter([{_reason}, CASE WHEN n_cves > 0 THEN n_cves || ' CVE(s) referenced' END, "
         "CASE WHEN n_iocs >= 5 THEN n_iocs || ' indicators of compromise found' END], "
         "lambda r: r IS NOT NULL) AS some_reasons FROM signals)",
-        "rated AS (SELECT *, CASE WHEN len(some_reasons) > 0 THEN some_reasons "
+        "rated AS MATERIALIZED (SELECT *, CASE WHEN len(some_reasons) > 0 THEN some_reasons "
         "ELSE ['no high-impact keywords or indicators found'] END AS severity_reasons FROM severe)",
     ]
 
@@ -229,7 +229,7 @@ def sentence_ctes(source: str, more: str = "") -> list[str]:
     return [
         f"sentence_lists AS (SELECT report_id{more}, list_filter(list_transform({parts}, "
         f"lambda s: {trim('s')}), lambda s: s <> '') AS sentences FROM {source})",
-        f"sentences AS (SELECT report_id{more}, CAST(unnest(range(len(sentences))) AS BIGINT) AS sent_idx, "
+        f"sentences AS MATERIALIZED (SELECT report_id{more}, CAST(unnest(range(len(sentences))) AS BIGINT) AS sent_idx, "
         f"len(sentences) AS total, unnest(sentences) AS sentence FROM sentence_lists)",
     ]
 
@@ -253,9 +253,9 @@ def mention_ctes(yearless: bool = False) -> list[str]:
         dates = f"CASE WHEN len({dates}) > 0 THEN {dates} ELSE regexp_extract_all(sentence, {q(YEARLESS)}) END"
     return [
         f"date_lists AS (SELECT report_id, sent_idx, sentence, {dates} AS dates FROM sentences)",
-        "date_rows AS (SELECT report_id, sent_idx, sentence, unnest(range(len(dates))) AS at, unnest(dates) AS date FROM date_lists)",
-        "first_dates AS (SELECT report_id, sent_idx, sentence, date, min(at) AS at FROM date_rows GROUP BY ALL)",
-        "mentions AS (SELECT report_id, sent_idx, row_number() OVER (PARTITION BY report_id, sent_idx ORDER BY at) - 1 AS pos, "
+        "date_rows AS (SELECT report_id, sent_idx, sentence, unnest(range(len(dates))) AS nth_date, unnest(dates) AS date FROM date_lists)",
+        "first_dates AS (SELECT report_id, sent_idx, sentence, date, min(nth_date) AS nth_date FROM date_rows GROUP BY report_id, sent_idx, sentence, date)",
+        "mentions AS (SELECT report_id, sent_idx, row_number() OVER (PARTITION BY report_id, sent_idx ORDER BY nth_date) - 1 AS pos, "
         "date, sentence, CASE WHEN length(sentence) > 220 THEN sentence[1:217] || '...' ELSE sentence END AS event FROM first_dates)",
         "events AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id, lower(date), lower(sentence[1:60]) "
         "ORDER BY sent_idx, pos) AS nth FROM mentions) WHERE nth = 1)",
@@ -438,9 +438,33 @@ _score_rows = " UNION ALL ".join(
     for i, (x, w) in enumerate(THREAT_KEYWORDS.items())
 )
 
-# Gazetteer: names of every length matched at word boundaries; none of these names overlap in a
-# way that needs more than "longest first, then leftmost" between neighbours.
+# Gazetteer: every run of up to five tokens compared with the names; a fold over the matches of a
+# report, longest first and then leftmost, keeps those that overlap none kept before.
 _gaz_words = "string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')"
+_token = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+_runs = " UNION ALL ".join(
+    f"SELECT report_id, start, {n} AS n, array_to_string(t[start + 1:start + {n}], '') AS name "
+    f"FROM (SELECT report_id, t, unnest(range(len(t) - {n - 1})) AS start FROM tokens WHERE len(t) >= {n}) "
+    rf"WHERE regexp_matches(t[start + 1], '\S')"
+    for n in range(1, 6)
+)
+GAZETTEER = [
+    CORPUS,
+    NORM,
+    f"benchmark_words AS (SELECT {_gaz_words} AS w FROM benchmark)",
+    "gaz AS (SELECT array_to_string(w[1:2], ' ') AS name, 'organizations' AS bucket FROM benchmark_words "
+    "UNION SELECT array_to_string(w[2:4], ' '), 'locations' FROM benchmark_words)",
+    f"tokens AS MATERIALIZED (SELECT report_id, regexp_extract_all(text, {q(_token)}) AS t FROM norm)",
+    f"runs AS ({_runs})",
+    "spans AS (SELECT r.report_id, r.start, r.n, r.name, g.bucket FROM runs r JOIN gaz g ON lower(r.name) = g.name)",
+    "span_lists AS (SELECT report_id, list({'start': start, 'n': n, 'name': name, 'bucket': bucket} ORDER BY n DESC, start, name, bucket) AS spans "
+    "FROM spans GROUP BY report_id)",
+    "kept AS (SELECT report_id, list_reduce(spans[2:], lambda acc, s: CASE WHEN len(list_filter(acc, lambda k: "
+    "k.start < s.start + s.n AND s.start < k.start + k.n)) > 0 THEN acc ELSE list_append(acc, s) END, spans[1:1]) AS spans FROM span_lists)",
+    "kept_rows AS (SELECT report_id, unnest(spans, recursive := true) FROM kept)",
+    f"first_names AS (SELECT report_id, bucket, lower(name) AS key, min(start) AS start, arg_min(name, start) AS name FROM kept_rows "
+    f"WHERE NOT regexp_matches(name, {q(NOISE)}) GROUP BY report_id, bucket, lower(name))",
+]
 
 _nvd = (
     "SELECT 'CVE-2025-' || (doc_id + 10000) AS cve_id, "
@@ -515,7 +539,6 @@ ORACLES: dict[str, str] = {
     ),
     "iocs_long": with_ctes(IOC, ioc_rows()),
     "iocs_long_pages": text_iocs_sql("pages", "page_id", "html"),
-    "iocs_long_conversations": text_iocs_sql("conversations", "conv_id * 100000 + turn", "text"),
     "indicator_counts": with_ctes(
         [*IOC, f"long_rows AS ({ioc_rows()})"],
         "SELECT ioc_type, count(DISTINCT report_id) AS n_reports, count(*) AS n_indicators FROM long_rows GROUP BY ioc_type",
@@ -535,6 +558,13 @@ ORACLES: dict[str, str] = {
         [*TEXT, *entity_ctes("lowered"), f"rows AS (SELECT report_id, {unnested('names', 'name')} FROM entities)"],
         f"SELECT *, CASE WHEN list_contains({arr(MALWARE_NAMES)}, lower(name)) THEN 'malware' ELSE 'products' END AS bucket FROM rows",
     ),
+    "gazetteer_spans": with_ctes(
+        GAZETTEER, "SELECT report_id, start, CAST(n AS BIGINT) AS length, name, bucket FROM spans"
+    ),
+    "extract_gazetteer": with_ctes(
+        GAZETTEER,
+        "SELECT report_id, bucket, row_number() OVER (PARTITION BY report_id, bucket ORDER BY start) - 1 AS pos, name FROM first_names",
+    ),
     "drop_ioc_noise": with_ctes(
         [*IOC, f"long_rows AS ({ioc_rows()})"],
         f"SELECT * FROM long_rows WHERE NOT regexp_matches(value, {q(NOISE)})",

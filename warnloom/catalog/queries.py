@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as I
 from ..functions.lexicons import IOC_LABELS, THREAT_KEYWORDS
 from ..operators import classify, cvss, dashboard, entities, indicators, narrative, similarity, text
+from ..operators.rows import element_rows, struct_rows
 from ..plans.analyze import analyze_reports, spread_input
 from ..sources import files, reports, staging
 from ..streaming.analyze import analyze_stream
@@ -181,15 +182,13 @@ def dedupe(spark, sf):
 
 
 def trim_url_tail(spark, sf):
-    return indicators.trim_url_tail(raw_lists(spark, sf)).select(
-        "report_id", F.posexplode("urls").alias("pos", "url")
-    )
+    return element_rows(indicators.trim_url_tail(raw_lists(spark, sf)), "report_id", "urls", "url")
 
 
 def drop_embedded_domains(spark, sf):
     trimmed = indicators.trim_url_tail(raw_lists(spark, sf))
-    return indicators.drop_embedded_domains(trimmed).select(
-        "report_id", F.posexplode("domains").alias("pos", "domain")
+    return element_rows(
+        indicators.drop_embedded_domains(trimmed), "report_id", "domains", "domain"
     )
 
 
@@ -207,9 +206,10 @@ def text_iocs(table: str, key: str, column: str) -> Query:
     """`iocs_long` over another table's texts."""
 
     def run(spark, sf):
-        source = spread_input(C.table(spark, sf, table), key).select(
+        source = C.table(spark, sf, table).select(
             F.expr(key).alias("report_id"), F.col(column).alias("text")
         )
+        source = spread_input(source)
         return indicators.iocs_long(indicators.extract_iocs(text.normalise(source)))
 
     return run
@@ -241,6 +241,10 @@ def name_mentions(spark, sf):
     return entities.name_mentions(normalised(spark, sf))
 
 
+def gazetteer_spans(spark, sf):
+    return entities.gazetteer_spans(normalised(spark, sf), C.gazetteer(spark, sf))
+
+
 def extract_gazetteer(spark, sf):
     return entities.extract_gazetteer(normalised(spark, sf), C.gazetteer(spark, sf))
 
@@ -292,8 +296,8 @@ def classify_severity(spark, sf):
 
 def recommend_actions(spark, sf):
     out = classify.classify_severity(classify.classify_threat_type(with_iocs(spark, sf)))
-    return classify.recommend_actions(out).select(
-        "report_id", F.posexplode("recommended_actions").alias("pos", "action")
+    return element_rows(
+        classify.recommend_actions(out), "report_id", "recommended_actions", "action"
     )
 
 
@@ -317,9 +321,7 @@ def enriched(spark, sf):
 
 
 def enrich_cves(spark, sf):
-    return enriched(spark, sf).select("report_id", F.posexplode("cves_enriched").alias("pos", "c")).select(
-        "report_id", "pos", "c.id", "c.score", "c.severity", "c.vector", "c.version"
-    )
+    return struct_rows(enriched(spark, sf), "report_id", "cves_enriched", pos="pos")
 
 
 def enrich_cves_by_join(spark, sf):
@@ -327,9 +329,7 @@ def enrich_cves_by_join(spark, sf):
     out = cvss.enrich_cves(
         with_iocs(spark, sf), C.cvss_dimension(spark, sf), in_row_rows=0, broadcast_rows=0
     )
-    return out.select("report_id", F.posexplode("cves_enriched").alias("pos", "c")).select(
-        "report_id", "pos", "c.id", "c.score", "c.severity", "c.vector", "c.version"
-    )
+    return struct_rows(out, "report_id", "cves_enriched", pos="pos")
 
 
 def cvss_lookup(spark, sf):
@@ -363,9 +363,8 @@ def yearless_dates(spark, sf):
 
 def drop_bare_years(spark, sf):
     """Four-digit runs and full dates as candidate dates."""
-    candidates = normalised(spark, sf).select(
-        "report_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[0-9]{4}(?:-[0-9]{2})*"), F.lit(0))).alias("pos", "date")
-    )
+    runs = F.regexp_extract_all("text", F.lit(r"[0-9]{4}(?:-[0-9]{2})*"), F.lit(0))
+    candidates = element_rows(normalised(spark, sf), "report_id", runs, "date")
     return narrative.drop_bare_years(candidates)
 
 
@@ -386,9 +385,7 @@ def truncate_event(spark, sf):
 
 def extract_timeline(spark, sf):
     out = narrative.extract_timeline(repeated(spark, sf))
-    return out.select("report_id", F.posexplode("timeline").alias("pos", "e")).select(
-        "report_id", "pos", "e.date", "e.event"
-    )
+    return struct_rows(out, "report_id", "timeline", pos="pos")
 
 
 # Similar incidents
@@ -500,16 +497,12 @@ def analyze(spark, sf):
 
 def stream(spark, sf):
     """The documents file as a stream, analysed into a table, which is then read."""
-    source = (
+    documents = (
         spark.readStream.schema(C.table(spark, sf, "documents").schema)
         .option("pathGlobFilter", "documents.parquet")
         .parquet(sf)
-        .select(
-            F.col("doc_id").alias("report_id"),
-            F.concat(F.lit("report-"), "doc_id", F.lit(".txt")).alias("filename"),
-            "text",
-        )
     )
+    source = C.with_endings(documents)
     out = staging.new_path(spark, "stream")
     query = analyze_stream(source, f"{out}/reports", f"{out}/checkpoint", C.cvss_dimension(spark, sf))
     query.awaitTermination()
@@ -545,13 +538,13 @@ QUERIES: dict[str, Query] = {
     "extract_iocs": extract_iocs,
     "iocs_long": iocs_long,
     "iocs_long_pages": text_iocs("pages", "page_id", "html"),
-    "iocs_long_conversations": text_iocs("conversations", "conv_id * 100000 + turn", "text"),
     "indicator_counts": indicator_counts,
     "ioc_counts_by_label": ioc_counts_by_label,
     "ioc_total": ioc_total,
     "extract_malware": extract_malware,
     "extract_products": extract_products,
     "name_mentions": name_mentions,
+    "gazetteer_spans": gazetteer_spans,
     "extract_gazetteer": extract_gazetteer,
     "drop_ioc_noise": drop_ioc_noise,
     "extract_entities": extract_entities,

@@ -28,7 +28,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def literal_array(words) -> Column:
-    return F.array(*[F.lit(word) for word in words])
+    quoted = ", ".join("'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'" for word in words)
+    return F.expr(f"array({quoted})")
 
 
 def strip(text: Column) -> Column:

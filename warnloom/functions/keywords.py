@@ -112,8 +112,11 @@ def techniques(found: Column) -> Column:
             for ord_, (tid, name, tactic, words) in enumerate(TECHNIQUES)
         ]
     )
-    matched = F.transform(
-        declared, lambda t: F.struct(t.alias("t"), F.array_intersect(t["keywords"], found).alias("m"))
+    matched = bind(
+        found,
+        lambda f: F.transform(
+            declared, lambda t: F.struct(t.alias("t"), F.array_intersect(t["keywords"], f).alias("m"))
+        ),
     )
     ranked = F.sort_array(
         F.transform(

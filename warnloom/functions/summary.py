@@ -21,26 +21,31 @@ def scored(sentences: Column, found: Column) -> Column:
 
     `found` holds the terms of the whole text, so only those few are looked for in a sentence.
     """
-    total = F.size(sentences)
-    measured = F.transform(
-        sentences,
-        lambda s, i: F.struct(
-            bind(
-                F.lower(s), lambda low: F.size(F.filter(found, lambda k: F.contains(low, k)))
-            ).alias("hits"),
-            F.greatest(space_words(s), F.lit(1)).alias("words"),
-            i.alias("i"),
-            s.alias("s"),
-        ),
-    )
-    return F.transform(
-        F.filter(measured, lambda m: m["words"].between(MIN_WORDS, MAX_WORDS)),
-        lambda m: F.struct(
-            (m["hits"] / m["words"] * 100 * position_bonus(m["i"], total)).alias("score"),
-            m["i"].alias("sent_idx"),
-            m["hits"].alias("hits"),
-            m["words"].alias("words"),
-            m["s"].alias("sentence"),
+
+    def measured(terms: Column) -> Column:
+        return F.transform(
+            sentences,
+            lambda s, i: F.struct(
+                bind(
+                    F.lower(s), lambda low: F.size(F.filter(terms, lambda k: F.contains(low, k)))
+                ).alias("hits"),
+                F.greatest(space_words(s), F.lit(1)).alias("words"),
+                i.alias("i"),
+                s.alias("s"),
+            ),
+        )
+
+    return bind(
+        F.size(sentences),
+        lambda total: F.transform(
+            F.filter(bind(found, measured), lambda m: m["words"].between(MIN_WORDS, MAX_WORDS)),
+            lambda m: F.struct(
+                (m["hits"] / m["words"] * 100 * position_bonus(m["i"], total)).alias("score"),
+                m["i"].alias("sent_idx"),
+                m["hits"].alias("hits"),
+                m["words"].alias("words"),
+                m["s"].alias("sentence"),
+            ),
         ),
     )
 

@@ -17,6 +17,7 @@ from ..functions.lexicons import (
     THREAT_KEYWORDS,
     UNKNOWN_THREAT,
 )
+from .rows import element_rows, struct_rows
 
 
 def with_keywords(df: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def threat_type_scores(df: DataFrame) -> DataFrame:
             for i, (label, words) in enumerate(THREAT_KEYWORDS.items())
         ]
     )
-    return _found(df).select("report_id", F.inline(scores))
+    return struct_rows(_found(df), "report_id", scores)
 
 
 def classify_threat_type(df: DataFrame) -> DataFrame:
@@ -66,11 +67,8 @@ def matched_keywords(df: DataFrame) -> DataFrame:
             for rule, label, words in groups
         ]
     )
-    return (
-        _found(df)
-        .select("report_id", F.explode(rules).alias("x"))
-        .select("report_id", "x.rule", "x.label", F.posexplode("x.words").alias("pos", "keyword"))
-    )
+    by_rule = struct_rows(_found(df), "report_id", rules)
+    return element_rows(by_rule, ["report_id", "rule", "label"], "words", "keyword")
 
 
 def severity_counts(iocs: Column) -> tuple[Column, Column]:
@@ -143,9 +141,8 @@ def map_techniques(df: DataFrame) -> DataFrame:
 def technique_hits(df: DataFrame) -> DataFrame:
     """One row for each matched technique: report_id, pos, technique_id, name, tactic,
     matched_keywords, hits."""
-    return map_techniques(df).select(
-        "report_id", F.posexplode("techniques").alias("pos", "t")
-    ).select(
-        "report_id", "pos", F.col("t.id").alias("technique_id"), "t.name", "t.tactic",
-        "t.matched_keywords", "t.hits",
+    return (
+        struct_rows(map_techniques(df), "report_id", "techniques", pos="pos")
+        .withColumnRenamed("id", "technique_id")
+        .drop("keywords")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cvss as V
 from .joins import is_small, lookup_join
+from .rows import element_rows, struct_rows
 
 IN_ROW_ROWS = 100_000
 _FIELDS = ["score", "severity", "vector", "version"]
@@ -68,9 +69,7 @@ def enrich_cves(df: DataFrame, cvss: DataFrame, in_row_rows: int = IN_ROW_ROWS,
             .withColumn("cves_enriched", F.transform(cves, entry).cast(V.ENRICHED))
             .drop("_cvss")
         )
-    mentions = df.select("report_id", F.posexplode(cves).alias("pos", "cve")).withColumn(
-        "cve_key", F.upper("cve")
-    )
+    mentions = element_rows(df, "report_id", cves, "cve").withColumn("cve_key", F.upper("cve"))
     joined = lookup_join(
         mentions, keyed, ["cve_key"], spread_by=["report_id", "pos"], **join_options
     )
@@ -105,11 +104,8 @@ def displayed_vulnerabilities(df: DataFrame) -> DataFrame:
         ),
     )
     shown = F.when(F.size("cves_enriched") > 0, F.col("cves_enriched")).otherwise(bare)
-    return cvss_band(
-        df.select("report_id", F.posexplode(shown).alias("pos", "v")).select(
-            "report_id", "pos", "v.id", "v.score", "v.severity"
-        )
-    )
+    rows = struct_rows(df, "report_id", shown, pos="pos")
+    return cvss_band(rows.select("report_id", "pos", "id", "score", "severity"))
 
 
 def cvss_band(df: DataFrame, score: str = "score") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indicators import ioc_total
+from .rows import element_rows
 
 
 def dashboard_scope(reports: DataFrame, newest: int | None = 200) -> DataFrame:
@@ -48,7 +49,7 @@ def dashboard_kpis(reports: DataFrame) -> DataFrame:
 def top_techniques(reports: DataFrame, n: int = 10) -> DataFrame:
     """Techniques by number of reports, by id on ties: technique, n_reports."""
     return (
-        reports.select(F.explode("techniques").alias("t"))
+        element_rows(reports, [], F.transform("techniques", lambda t: F.struct(t["id"], t["name"])), "t", None)
         .groupBy(F.concat_ws(" ", "t.id", "t.name").alias("technique"))
         .agg(F.count(F.lit(1)).alias("n_reports"))
         .orderBy(F.desc("n_reports"), "technique")

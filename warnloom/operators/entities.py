@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.core import WORD, find_all
 from .joins import lookup_join
+from .rows import element_rows, struct_rows
 
 _TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_]"
 
@@ -15,20 +16,18 @@ _TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_]"
 def name_mentions(df: DataFrame) -> DataFrame:
     """Every built-in name as a whole token, the longest where several start together:
     report_id, pos, name, bucket. A name broken over a line does not match."""
-    return df.select(
-        "report_id", F.posexplode(N.names_in(F.col("text"))).alias("pos", "name")
-    ).withColumn(
+    return element_rows(df, "report_id", N.names_in(F.col("text")), "name").withColumn(
         "bucket",
         F.when(F.lower("name").isin(N.MALWARE_NAMES), "malware").otherwise("products"),
     )
 
 
 def extract_malware(df: DataFrame) -> DataFrame:
-    return df.select("report_id", F.posexplode(N.malware(N.names_in(F.col("text")))).alias("pos", "name"))
+    return element_rows(df, "report_id", N.malware(N.names_in(F.col("text"))), "name")
 
 
 def extract_products(df: DataFrame) -> DataFrame:
-    return df.select("report_id", F.posexplode(N.products(N.names_in(F.col("text")))).alias("pos", "name"))
+    return element_rows(df, "report_id", N.products(N.names_in(F.col("text"))), "name")
 
 
 def gazetteer_spans(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
@@ -62,9 +61,9 @@ def gazetteer_spans(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
 
     if not lengths:
         lengths = [1]
-    exploded = tokens.select(
-        "report_id", F.inline(F.concat(*[runs(n) for n in lengths]))
-    ).withColumn("key", F.lower("name"))
+    exploded = struct_rows(tokens, "report_id", F.concat(*[runs(n) for n in lengths])).withColumn(
+        "key", F.lower("name")
+    )
     spans = lookup_join(
         exploded, names.drop("length"), ["key"], how="inner", spread_by=["report_id", "start"],
         **join_options,

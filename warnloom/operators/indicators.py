@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import indicators as I
 from ..functions.core import dedupe_ci as dedupe_values
 from ..functions.lexicons import IOC_LABELS
+from .rows import element_rows, struct_rows
 
 
 def extract_label(df: DataFrame, label: str) -> DataFrame:
     """Every match of one label as written, repeats included: report_id, pos, value."""
-    return df.select(
-        "report_id", F.posexplode(I.find_label(F.col("text"), label)).alias("pos", "value")
-    )
+    return element_rows(df, "report_id", I.find_label(F.col("text"), label), "value")
 
 
 def extract_cves(df: DataFrame) -> DataFrame:
@@ -98,17 +97,15 @@ def labelled(iocs: Column) -> Column:
 
 def iocs_long(df: DataFrame) -> DataFrame:
     """One row for each indicator: report_id, ioc_type, pos, value."""
-    return df.select("report_id", F.explode(labelled(F.col("iocs"))).alias("x")).select(
-        "report_id", "x.ioc_type", F.posexplode("x.values").alias("pos", "value")
-    )
+    by_label = struct_rows(df, "report_id", labelled(F.col("iocs")))
+    return element_rows(by_label, ["report_id", "ioc_type"], "values", "value")
 
 
 def ioc_counts_by_label(df: DataFrame, labels=tuple(IOC_LABELS[1:])) -> DataFrame:
     """List sizes per report, by default for every label but the CVEs: report_id, ioc_type, n."""
-    return (
-        df.select("report_id", F.explode(labelled(F.col("iocs"))).alias("x"))
-        .filter(F.col("x.ioc_type").isin(*labels))
-        .select("report_id", "x.ioc_type", F.size("x.values").alias("n"))
+    by_label = struct_rows(df, "report_id", labelled(F.col("iocs")))
+    return by_label.filter(F.col("ioc_type").isin(*labels)).select(
+        "report_id", "ioc_type", F.size("values").alias("n")
     )
 
 
@@ -119,11 +116,11 @@ def ioc_total(df: DataFrame) -> DataFrame:
 def indicator_counts(df: DataFrame) -> DataFrame:
     """Indicators of each kind over all reports: ioc_type, n_reports, n_indicators."""
     return (
-        df.select(F.explode(labelled(F.col("iocs"))).alias("x"))
-        .filter(F.size("x.values") > 0)
-        .groupBy("x.ioc_type")
+        struct_rows(df, [], labelled(F.col("iocs")))
+        .filter(F.size("values") > 0)
+        .groupBy("ioc_type")
         .agg(
             F.count(F.lit(1)).alias("n_reports"),
-            F.sum(F.size("x.values")).cast("long").alias("n_indicators"),
+            F.sum(F.size("values")).cast("long").alias("n_indicators"),
         )
     )

@@ -13,6 +13,7 @@ from ..functions import summary as S
 from ..functions import timeline as D
 from ..functions.text import sentences
 from .classify import _found
+from .rows import struct_rows
 
 
 def with_sentences(df: DataFrame) -> DataFrame:
@@ -23,8 +24,8 @@ def with_sentences(df: DataFrame) -> DataFrame:
 
 def score_sentences(df: DataFrame) -> DataFrame:
     """One row for each sentence of 5 to 60 words: report_id, score, sent_idx, hits, words, sentence."""
-    return with_sentences(_found(df)).select(
-        "report_id", F.inline(S.scored(F.col("sentences"), F.col("found_keywords")))
+    return struct_rows(
+        with_sentences(_found(df)), "report_id", S.scored(F.col("sentences"), F.col("found_keywords"))
     )
 
 
@@ -40,9 +41,8 @@ def date_mentions(df: DataFrame, yearless: bool = False) -> DataFrame:
 
     `yearless` adds dates such as `March 13` for sentences without a full date.
     """
-    return with_sentences(df).select(
-        "report_id", F.inline(D.mentions(F.col("sentences"), yearless))
-    ).drop("key")
+    mentions = D.mentions(F.col("sentences"), yearless)
+    return struct_rows(with_sentences(df), "report_id", mentions).drop("key")
 
 
 def drop_bare_years(df: DataFrame, date: str = "date") -> DataFrame:
@@ -55,9 +55,8 @@ def truncate_event(df: DataFrame, sentence: str, chars: int = D.EVENT_CHARS) ->
 
 def dedupe_events(df: DataFrame, yearless: bool = False) -> DataFrame:
     """`date_mentions`, one per date and sentence start in a report."""
-    return with_sentences(df).select(
-        "report_id", F.inline(D.first_mentions(D.mentions(F.col("sentences"), yearless)))
-    ).drop("key")
+    firsts = D.first_mentions(D.mentions(F.col("sentences"), yearless))
+    return struct_rows(with_sentences(df), "report_id", firsts).drop("key")
 
 
 def extract_timeline(

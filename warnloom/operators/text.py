@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.core import strip
+from .rows import element_rows
 
 
 def clean_text(df: DataFrame) -> DataFrame:
@@ -29,9 +30,7 @@ def filter_min_length(df: DataFrame, min_chars: int = T.MIN_CHARS) -> DataFrame:
 
 def split_sentences(df: DataFrame) -> DataFrame:
     """One row for each sentence: report_id, sent_idx, sentence."""
-    return df.select(
-        "report_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence")
-    )
+    return element_rows(df, "report_id", T.sentences(F.col("text")), "sentence", pos="sent_idx")
 
 
 def word_count(df: DataFrame) -> DataFrame:
