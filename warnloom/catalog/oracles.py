@@ -442,10 +442,10 @@ _score_rows = " UNION ALL ".join(
 # report, longest first and then leftmost, keeps those that overlap none kept before.
 _gaz_words = "string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')"
 _token = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+_leads = ", ".join(f"lead(t0, {i}) OVER by_position AS t{i}" for i in range(1, 5))
 _runs = " UNION ALL ".join(
-    f"SELECT report_id, start, {n} AS n, array_to_string(t[start + 1:start + {n}], '') AS name "
-    f"FROM (SELECT report_id, t, unnest(range(len(t) - {n - 1})) AS start FROM tokens WHERE len(t) >= {n}) "
-    rf"WHERE regexp_matches(t[start + 1], '\S')"
+    f"SELECT report_id, start, {n} AS n, {' || '.join(f't{i}' for i in range(n))} AS name FROM neighbours "
+    rf"WHERE t{n - 1} IS NOT NULL AND regexp_matches(t0, '\S')"
     for n in range(1, 6)
 )
 GAZETTEER = [
@@ -454,7 +454,9 @@ GAZETTEER = [
     f"benchmark_words AS (SELECT {_gaz_words} AS w FROM benchmark)",
     "gaz AS (SELECT array_to_string(w[1:2], ' ') AS name, 'organizations' AS bucket FROM benchmark_words "
     "UNION SELECT array_to_string(w[2:4], ' '), 'locations' FROM benchmark_words)",
-    f"tokens AS MATERIALIZED (SELECT report_id, regexp_extract_all(text, {q(_token)}) AS t FROM norm)",
+    f"tokens AS (SELECT report_id, regexp_extract_all(text, {q(_token)}) AS t FROM norm)",
+    "token_rows AS (SELECT report_id, unnest(range(len(t))) AS start, unnest(t) AS t0 FROM tokens)",
+    f"neighbours AS MATERIALIZED (SELECT *, {_leads} FROM token_rows WINDOW by_position AS (PARTITION BY report_id ORDER BY start))",
     f"runs AS ({_runs})",
     "spans AS (SELECT r.report_id, r.start, r.n, r.name, g.bucket FROM runs r JOIN gaz g ON lower(r.name) = g.name)",
     "span_lists AS (SELECT report_id, list({'start': start, 'n': n, 'name': name, 'bucket': bucket} ORDER BY n DESC, start, name, bucket) AS spans "

@@ -27,9 +27,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(words) -> str:
+    return "array(" + ", ".join(sql_text(word) for word in words) + ")"
+
+
 def literal_array(words) -> Column:
-    quoted = ", ".join("'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'" for word in words)
-    return F.expr(f"array({quoted})")
+    return F.expr(sql_array(words))
 
 
 def strip(text: Column) -> Column:
@@ -59,11 +67,21 @@ def first_per_key(items: Column, key: Callable[[Column], Column]) -> Column:
     return F.transform(in_order, lambda e: e["x"])
 
 
-def dedupe_ci(values: Column) -> Column:
-    """Drop case-insensitive repeats from a string array, keeping first casing and order."""
-    return bind(
-        F.array_distinct(values),
-        lambda v: F.when(
-            F.size(F.array_distinct(F.transform(v, F.lower))) == F.size(v), v
-        ).otherwise(first_per_key(v, F.lower)),
-    )
+_DEDUPE_CI = """
+get(transform(array(array_distinct({values})), v ->
+  CASE WHEN size(array_distinct(transform(v, x -> lower(x)))) = size(v) THEN v
+  ELSE get(transform(
+    array(sort_array(transform(v, (x, i) -> struct(lower(x) AS k, i AS i, x AS x)))), s ->
+      transform(
+        sort_array(transform(
+          filter(s, (e, i) -> i = 0 OR get(s, greatest(i - 1, 0)).k <> e.k),
+          e -> struct(e.i, e.x))),
+        e -> e.x)), 0)
+  END), 0)
+"""
+
+
+def dedupe_ci(values: str) -> Column:
+    """Drop case-insensitive repeats from a string array (a column or SQL expression), keeping first
+    casing and order. Only arrays where casing varies are sorted, as in `first_per_key`."""
+    return F.expr(_DEDUPE_CI.format(values=values))

@@ -60,8 +60,9 @@ def hashes(text: Column) -> Column:
     return find_all(text, HASH)
 
 
-def hashes_of(runs: Column, label: str) -> Column:
-    return F.filter(runs, lambda h: F.length(h) == HASH_LENGTHS[label])
+def hashes_sql(runs: str, label: str) -> str:
+    """The hashes of one kind among hex runs, as a SQL expression."""
+    return f"filter({runs}, h -> length(h) = {HASH_LENGTHS[label]})"
 
 
 def domains(text: Column) -> Column:
@@ -74,7 +75,7 @@ def domains(text: Column) -> Column:
 def find_label(text: Column, label: str) -> Column:
     """Every match of one label in text order, repeats included."""
     if label in HASH_LENGTHS:
-        return hashes_of(hashes(text), label)
+        return F.filter(hashes(text), lambda h: F.length(h) == HASH_LENGTHS[label])
     return {"cves": cves, "ipv4": ipv4, "urls": urls, "emails": emails, "domains": domains}[label](
         text
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import bind, literal_array
+from .core import bind, literal_array, sql_array, sql_text
 from .lexicons import (
     SEVERITY_KEYWORDS,
     SEVERITY_LEVELS,
@@ -100,17 +100,14 @@ def severity_reasons(tier: Column, n_cves: Column, n_iocs: Column) -> Column:
 
 def techniques(found: Column) -> Column:
     """Matched techniques as an array of structs, most keyword hits first, declared order on ties."""
-    declared = F.array(
-        *[
-            F.struct(
-                F.lit(ord_).alias("ord"),
-                F.lit(tid).alias("id"),
-                F.lit(name).alias("name"),
-                F.lit(tactic).alias("tactic"),
-                literal_array(words).alias("keywords"),
-            )
-            for ord_, (tid, name, tactic, words) in enumerate(TECHNIQUES)
-        ]
+    declared = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('ord', {i}, 'id', {sql_text(tid)}, 'name', {sql_text(name)},"
+            f" 'tactic', {sql_text(tactic)}, 'keywords', {sql_array(words)})"
+            for i, (tid, name, tactic, words) in enumerate(TECHNIQUES)
+        )
+        + ")"
     )
     matched = bind(
         found,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import dedupe_ci, find_all, strip
+from .core import dedupe_ci, find_all, sql_text, strip
 from .lexicons import ENTITY_NOISE_TLDS, MALWARE_NAMES, PRODUCT_NAMES
 
 
@@ -38,16 +38,17 @@ def drop_ioc_noise(entities: Column) -> Column:
     return F.filter(F.transform(entities, strip), lambda e: ~is_noise(e))
 
 
-def bucket(names: Column, lexicon) -> Column:
-    """The names that belong to one lexicon, de-duplicated."""
-    return dedupe_ci(F.filter(names, lambda n: F.lower(n).isin(list(lexicon))))
+def bucket(names: str, lexicon) -> Column:
+    """The members of the array column `names` that belong to one lexicon, de-duplicated."""
+    members = ", ".join(sql_text(name) for name in lexicon)
+    return dedupe_ci(f"filter({names}, n -> lower(n) IN ({members}))")
 
 
-def malware(names: Column) -> Column:
+def malware(names: str) -> Column:
     return bucket(names, MALWARE_NAMES)
 
 
-def products(names: Column) -> Column:
+def products(names: str) -> Column:
     return bucket(names, PRODUCT_NAMES)
 
 

@@ -22,12 +22,16 @@ def name_mentions(df: DataFrame) -> DataFrame:
     )
 
 
+def with_names(df: DataFrame) -> DataFrame:
+    return df.withColumn("_names", N.names_in(F.col("text")))
+
+
 def extract_malware(df: DataFrame) -> DataFrame:
-    return element_rows(df, "report_id", N.malware(N.names_in(F.col("text"))), "name")
+    return element_rows(with_names(df), "report_id", N.malware("_names"), "name")
 
 
 def extract_products(df: DataFrame) -> DataFrame:
-    return element_rows(df, "report_id", N.products(N.names_in(F.col("text"))), "name")
+    return element_rows(with_names(df), "report_id", N.products("_names"), "name")
 
 
 def gazetteer_spans(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
@@ -121,8 +125,8 @@ def extract_entities(df: DataFrame, max_chars: int | None = None) -> DataFrame:
         .withColumn(
             "entities",
             F.struct(
-                N.malware(F.col("_names")).alias("malware"),
-                N.products(F.col("_names")).alias("products"),
+                N.malware("_names").alias("malware"),
+                N.products("_names").alias("products"),
                 none.alias("organizations"),
                 none.alias("locations"),
             ),

@@ -50,7 +50,7 @@ def extract_domains(df: DataFrame) -> DataFrame:
 
 def dedupe_ci(df: DataFrame, values: str) -> DataFrame:
     """Drop case-insensitive repeats from the string array `values`, first casing and order kept."""
-    return df.withColumn(values, dedupe_values(F.col(values)))
+    return df.withColumn(values, dedupe_values(values))
 
 
 def trim_url_tail(df: DataFrame, urls: str = "urls") -> DataFrame:
@@ -72,15 +72,13 @@ def extract_iocs(df: DataFrame) -> DataFrame:
     that are part of the trimmed URLs or of an e-mail address.
     """
     text = F.col("text")
-    wide = df.withColumns({"_hashes": I.hashes(text)}).withColumns(
-        {
-            f"_{label}": dedupe_values(
-                I.hashes_of(F.col("_hashes"), label)
-                if label in I.HASH_LENGTHS
-                else I.find_label(text, label)
-            )
-            for label in IOC_LABELS
-        }
+    patterns = [label for label in IOC_LABELS if label not in I.HASH_LENGTHS]
+    wide = df.withColumns(
+        {f"_{label}": I.find_label(text, label) for label in patterns} | {"_hashes": I.hashes(text)}
+    )
+    wide = wide.withColumns(
+        {f"_{label}": dedupe_values(f"_{label}") for label in patterns}
+        | {f"_{label}": dedupe_values(I.hashes_sql("_hashes", label)) for label in I.HASH_LENGTHS}
     )
     wide = trim_url_tail(wide, "_urls")
     wide = drop_embedded_domains(wide, "_domains", "_urls", "_emails")
