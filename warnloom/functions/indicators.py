@@ -16,7 +16,8 @@ IPV4 = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 URL = rf"""(?iU)\bhttps?://[^{WS})"'<>]+"""
 HASH = r"(?U)\b[a-fA-F0-9]{32,64}\b"
 HASH_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64}
-URL_TAIL = r"""(?<![.,;:!?)\\\]"'])[.,;:!?)\\\]"']+\z"""
+# Fixed value: characters that do not end a URL.
+URL_TAIL = ".,;:!?)\\]\"'"
 
 # E-mail addresses and domains. The plain patterns, \b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b
 # and \b(?:[A-Za-z0-9-]+\.)+TLD\b, restart at every label of a long dotted run (quadratic) and the
@@ -82,7 +83,7 @@ def find_label(text: Column, label: str) -> Column:
 
 
 def trim_url_tail(values: Column) -> Column:
-    return F.transform(values, lambda u: F.regexp_replace(u, URL_TAIL, ""))
+    return F.transform(values, lambda u: F.rtrim(u, F.lit(URL_TAIL)))
 
 
 def drop_embedded_domains(domain_values: Column, url_values: Column, email_values: Column) -> Column:

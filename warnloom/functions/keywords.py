@@ -17,9 +17,26 @@ from .lexicons import (
 
 
 def keywords_in(text: Column, keywords=None) -> Column:
-    """The lexicon terms contained in `text`, each once. One pass per term, shared by every rule."""
-    words = literal_array(keywords or all_keywords())
-    return bind(F.lower(text), lambda low: F.filter(words, lambda k: F.contains(low, k)))
+    """The lexicon terms contained in `text`, each once, for every rule to read.
+
+    A term that contains a shorter term is looked for only where the shorter one was found.
+    """
+    words = keywords or all_keywords()
+    longer = [w for w in words if any(other in w for other in words if other != w)]
+    shortest = literal_array([w for w in words if w not in longer])
+
+    def search(low: Column) -> Column:
+        def extend(short: Column) -> Column:
+            more = F.filter(
+                literal_array(longer),
+                lambda k: F.exists(short, lambda s: F.contains(k, s)) & F.contains(low, k),
+            )
+            return F.when(F.size(short) == 0, short).otherwise(F.concat(short, more))
+
+        found = F.filter(shortest, lambda k: F.contains(low, k))
+        return bind(found, extend) if longer else found
+
+    return bind(F.lower(text), search)
 
 
 def hits(found: Column, keywords) -> Column:

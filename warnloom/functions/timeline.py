@@ -1,4 +1,4 @@
-"""Dated events as column expressions over a sentence array."""
+"""Dated events as column expressions over normalised text."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import WS, bind, find_all, first_per_key
+from .text import sentences
 
 _MONTH = (
     "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -23,17 +24,24 @@ EVENT_CHARS = 220
 KEY_CHARS = 60
 
 
-def dates(sentence: Column, yearless: bool = False) -> Column:
-    """Distinct dates of a sentence in text order; optionally `Month D` where there is none."""
-    full = F.array_distinct(find_all(sentence, DATE))
-    if not yearless:
-        return full
-    return bind(
-        full,
-        lambda d: F.when(F.size(d) > 0, d).otherwise(
-            F.array_distinct(find_all(sentence, YEARLESS))
-        ),
-    )
+# Unicode noncharacters, reserved for use inside a program: they enclose a date for a moment.
+_OPEN, _CLOSE = "\ufdd1", "\ufdd2"
+
+
+def mark_dates(text: Column) -> Column:
+    """Enclose every date. One pass over the whole text finds what a pass over each sentence would:
+    a date holds no sentence end, and white space follows every sentence."""
+    return F.regexp_replace(text, f"({DATE})", f"{_OPEN}$1{_CLOSE}")
+
+
+def marked_dates(sentence: Column) -> Column:
+    """Distinct dates of a marked sentence in text order."""
+    parts = F.filter(F.split(sentence, _OPEN), lambda p: F.contains(p, F.lit(_CLOSE)))
+    return F.array_distinct(F.transform(parts, lambda p: F.substring_index(p, _CLOSE, 1)))
+
+
+def unmark(sentence: Column) -> Column:
+    return F.replace(F.replace(sentence, F.lit(_OPEN), F.lit("")), F.lit(_CLOSE), F.lit(""))
 
 
 def truncate_event(sentence: Column, chars: int = EVENT_CHARS) -> Column:
@@ -46,18 +54,48 @@ def is_bare_year(date: Column) -> Column:
     return date.rlike(BARE_YEAR)
 
 
-def mentions(sentences: Column, yearless: bool = False) -> Column:
-    """Structs (sent_idx, pos, date, event, key) for each dated sentence, in text order."""
+def dated_sentences(text: Column, undated: bool = False) -> Column:
+    """Structs (sent_idx, sentence, dates) of the sentences of a text that hold a date, or of all."""
+    numbered = F.transform(
+        sentences(mark_dates(text)), lambda s, i: F.struct(i.alias("i"), s.alias("s"))
+    )
+    if not undated:
+        numbered = F.filter(numbered, lambda n: F.contains(n["s"], F.lit(_OPEN)))
+    dated = F.transform(
+        numbered,
+        lambda n: F.struct(
+            n["i"].alias("sent_idx"),
+            unmark(n["s"]).alias("sentence"),
+            marked_dates(n["s"]).alias("dates"),
+        ),
+    )
+    if undated:
+        return dated
+    # Most texts hold no date; they are not marked and cut up.
+    nothing = F.array().cast("array<struct<sent_idx: int, sentence: string, dates: array<string>>>")
+    return F.when(text.rlike(DATE), dated).otherwise(nothing)
+
+
+def mentions(text: Column, yearless: bool = False) -> Column:
+    """Structs (sent_idx, pos, date, event, key) for each date of each sentence, in text order;
+    optionally `Month D` where a sentence has no full date."""
+
+    def dates(s: Column) -> Column:
+        if not yearless:
+            return s["dates"]
+        short = F.array_distinct(find_all(s["sentence"], YEARLESS))
+        return F.when(F.size(s["dates"]) > 0, s["dates"]).otherwise(short)
+
     per_sentence = F.transform(
-        sentences,
-        lambda s, i: F.transform(
-            F.when(s.rlike(r"\p{Nd}"), dates(s, yearless)).otherwise(F.array().cast("array<string>")),
+        dated_sentences(text, undated=yearless),
+        lambda s: F.transform(
+            dates(s),
             lambda d, p: F.struct(
-                i.alias("sent_idx"),
+                s["sent_idx"].alias("sent_idx"),
                 p.alias("pos"),
                 d.alias("date"),
-                truncate_event(s).alias("event"),
-                F.struct(F.lower(d), F.lower(F.substring(s, 1, KEY_CHARS))).alias("key"),
+                truncate_event(s["sentence"]).alias("event"),
+                F.struct(F.lower(d), F.lower(F.substring(s["sentence"], 1, KEY_CHARS))).alias("key"),
             ),
         ),
     )
@@ -85,8 +123,8 @@ def cap_events(events: Column, max_events: int = MAX_EVENTS) -> Column:
     )
 
 
-def timeline_events(sentences: Column, max_events: int = MAX_EVENTS, yearless: bool = False) -> Column:
-    return cap_events(first_mentions(mentions(sentences, yearless)), max_events)
+def timeline_events(text: Column, max_events: int = MAX_EVENTS, yearless: bool = False) -> Column:
+    return cap_events(first_mentions(mentions(text, yearless)), max_events)
 
 
 def as_timeline(events: Column) -> Column:

@@ -41,8 +41,7 @@ def date_mentions(df: DataFrame, yearless: bool = False) -> DataFrame:
 
     `yearless` adds dates such as `March 13` for sentences without a full date.
     """
-    mentions = D.mentions(F.col("sentences"), yearless)
-    return struct_rows(with_sentences(df), "report_id", mentions).drop("key")
+    return struct_rows(df, "report_id", D.mentions(F.col("text"), yearless)).drop("key")
 
 
 def drop_bare_years(df: DataFrame, date: str = "date") -> DataFrame:
@@ -55,14 +54,13 @@ def truncate_event(df: DataFrame, sentence: str, chars: int = D.EVENT_CHARS) ->
 
 def dedupe_events(df: DataFrame, yearless: bool = False) -> DataFrame:
     """`date_mentions`, one per date and sentence start in a report."""
-    firsts = D.first_mentions(D.mentions(F.col("sentences"), yearless))
-    return struct_rows(with_sentences(df), "report_id", firsts).drop("key")
+    firsts = D.first_mentions(D.mentions(F.col("text"), yearless))
+    return struct_rows(df, "report_id", firsts).drop("key")
 
 
 def extract_timeline(
     df: DataFrame, max_events: int = D.MAX_EVENTS, yearless: bool = False
 ) -> DataFrame:
     """Add `timeline`, an array of (date, event) in order of appearance."""
-    return with_sentences(df).withColumn(
-        "timeline", D.as_timeline(D.timeline_events(F.col("sentences"), max_events, yearless))
-    )
+    events = D.timeline_events(F.col("text"), max_events, yearless)
+    return df.withColumn("timeline", D.as_timeline(events))
