@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session. Only where that is unset, as on one machine in tests,
-    a temporary folder takes its place."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder of the session. Only where none is named, as on one machine in tests, a
+    temporary folder becomes the checkpoint folder of this session."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="warnloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="warnloom-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
