@@ -235,3 +235,11 @@ def test_cvss_file_missing_broken_or_good(spark, tmp_path):
     rows = files.load_cvss_dimension(spark, str(tmp_path / "good.json")).collect()
     assert {tuple(r) for r in rows} == {("CVE-1", 7.8, "HIGH", "x", "v31"), ("CVE-2", None, None, None, None)}
     assert V.BANDS and N.NAMES
+
+
+def test_enrichment_with_an_empty_dimension(spark, report):
+    nothing = spark.createDataFrame([], DIMENSION_SCHEMA)
+    df = indicators.extract_iocs(report("CVE-2024-1000", "none"))
+    out = by_id(cvss.enrich_cves(df, nothing))
+    assert [tuple(c) for c in out[1].cves_enriched] == [("CVE-2024-1000", None, None, None, None)]
+    assert out[2].cves_enriched == []

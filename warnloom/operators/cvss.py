@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import cvss as V
 from .joins import is_small, lookup_join
 from .rows import element_rows, struct_rows
 
-IN_ROW_ROWS = 100_000
+IN_ROW_ROWS = 400_000
 _FIELDS = ["score", "severity", "vector", "version"]
 
 
@@ -26,18 +28,25 @@ def _keyed(cvss: DataFrame) -> DataFrame:
     )
 
 
-def _hash_table(keyed: DataFrame, buckets: int) -> Column:
-    """The dimension as one value: an array of short arrays of (cve_key, record), addressed by a hash
-    of the key."""
-    slot = F.pmod(F.xxhash64("cve_key"), F.lit(buckets)).cast("int")
-    filled = keyed.groupBy(slot.alias("slot")).agg(
-        F.collect_list(F.struct("cve_key", "record")).alias("entries")
-    )
-    slots = keyed.sparkSession.range(buckets).select(F.col("id").cast("int").alias("slot"))
-    ordered = slots.join(filled, "slot", "left").agg(
-        F.sort_array(F.collect_list(F.struct("slot", "entries"))).alias("table")
-    )
-    return ordered.select(F.transform("table", lambda s: s["entries"])).scalar()
+def _lookup(keyed: DataFrame):
+    """A function from arrays of CVEs to arrays of enriched CVEs, over a dimension of checked size that
+    is broadcast once per executor. Whole Arrow batches are looked up at a time."""
+    table = keyed.select("cve_key", "record.*").toArrow()
+    shared = keyed.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf(V.ENRICHED)
+    def lookup(cves: pa.Array) -> pa.Array:
+        records = shared.value
+        flat = cves.flatten()
+        found = pc.index_in(pc.utf8_upper(flat), value_set=records["cve_key"])
+        columns = [flat, *[records[f].combine_chunks().take(found) for f in _FIELDS]]
+        entries = pa.StructArray.from_arrays(columns, names=["id", *_FIELDS])
+        lengths = pc.fill_null(pc.list_value_length(cves), 0)
+        ends = pc.cumulative_sum(lengths)
+        offsets = pa.concat_arrays([pa.array([0], ends.type), ends]).cast(pa.int32())
+        return pa.ListArray.from_arrays(offsets, entries)
+
+    return lookup
 
 
 def _enriched_entry(cve: Column, record: Column) -> Column:
@@ -47,28 +56,15 @@ def _enriched_entry(cve: Column, record: Column) -> Column:
 def enrich_cves(df: DataFrame, cvss: DataFrame, in_row_rows: int = IN_ROW_ROWS, **join_options) -> DataFrame:
     """Add `cves_enriched`: for each CVE, in order and as written, its CVSS record or nulls.
 
-    A dimension counted to have at most `in_row_rows` rows travels to the tasks as one value and is
-    looked up inside each row, so wide report rows are never exploded or shuffled. A larger one is
-    joined to the exploded CVEs alone, and only the collected result meets the reports again.
+    A dimension counted to have at most `in_row_rows` rows is broadcast and looked up for the array of
+    each row, so wide report rows are never exploded or shuffled. (An array cannot be the key of a
+    broadcast join.) A larger one is joined to the exploded CVEs alone, and only the collected result
+    meets the reports again.
     """
     keyed = _keyed(cvss)
     cves = F.col("iocs.cves")
     if is_small(cvss, in_row_rows):
-        buckets = 2048
-
-        def entry(cve):
-            key = F.upper(cve)
-            slot = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-            same = F.filter(F.get("_cvss", slot), lambda e: e["cve_key"] == key)
-            return _enriched_entry(cve, F.get(same, F.lit(0))["record"])
-
-        # A subquery may not be written inside a lambda. As a column that is used once it is merged
-        # into the projection that uses it, so the table is a shared constant, never part of a row.
-        return (
-            df.withColumn("_cvss", _hash_table(keyed, buckets))
-            .withColumn("cves_enriched", F.transform(cves, entry).cast(V.ENRICHED))
-            .drop("_cvss")
-        )
+        return df.withColumn("cves_enriched", _lookup(keyed)(cves))
     mentions = element_rows(df, "report_id", cves, "cve").withColumn("cve_key", F.upper("cve"))
     joined = lookup_join(
         mentions, keyed, ["cve_key"], spread_by=["report_id", "pos"], **join_options

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, cvss as C, entities, indicators, narrative, text
+from ..operators.metrics import counted
 from ..sources.reports import RESULT_FIELDS
 
 
@@ -40,18 +39,18 @@ def analyze_reports(
     out = classify.classify_severity(classify.classify_threat_type(out))
     out = classify.recommend_actions(classify.map_techniques(out))
     out = narrative.extract_timeline(narrative.summarize(out), yearless=yearless_dates)
-    if cvss is None or not cvss_lookup:
-        out = C.without_enrichment(out)
-    else:
-        out = C.enrich_cves(out, cvss)
     out = out.withColumns(
         {
             "word_count": T.word_count(F.col("text")),
             "text_excerpt": T.text_excerpt(F.col("text")),
         }
     )
+    if cvss is None or not cvss_lookup:
+        out = C.without_enrichment(out)
+    else:
+        # Last, when the text itself is no longer in the row.
+        out = C.enrich_cves(out, cvss)
     kept = ["text"] if keep_text else []
-    out = out.select("report_id", *RESULT_FIELDS, *kept)
     # The metric also keeps the optimizer from moving a caller's filter on a result column below the
     # analysis, where the whole rule behind that column would be computed a second time.
-    return out.observe(f"analysed-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("reports"))
+    return counted(out.select("report_id", *RESULT_FIELDS, *kept), "analysed")
