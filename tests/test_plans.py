@@ -57,7 +57,9 @@ def test_the_text_is_gone_before_the_lookup(stored, dimension):
     out = analyze_reports(stored, dimension)
     names = [name for name, _ in nodes_of(out)]
     assert names.count("ArrowEvalPython") == 1
-    _, below = nodes_of(out)[names.index("ArrowEvalPython") + 1]
+    rest = nodes_of(out)[names.index("ArrowEvalPython") + 1 :]
+    assert rest[0][0] == "CollectMetrics"
+    _, below = rest[1]
     produced = below[below.index("[") :].split(" AS ")
     assert below.startswith("Project") and not [c for c in produced if c.startswith("text#")]
 

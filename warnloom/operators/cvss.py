@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cvss as V
 from .joins import is_small, lookup_join
+from .metrics import counted
 from .rows import element_rows, struct_rows
 
 IN_ROW_ROWS = 400_000
@@ -64,7 +65,10 @@ def enrich_cves(df: DataFrame, cvss: DataFrame, in_row_rows: int = IN_ROW_ROWS,
     keyed = _keyed(cvss)
     cves = F.col("iocs.cves")
     if is_small(cvss, in_row_rows):
-        return df.withColumn("cves_enriched", _lookup(keyed)(cves))
+        # The count keeps the CVE search a column of its own. Merged into the argument, its nested
+        # lambdas can stop Spark from recognising the function as one to run in Python.
+        listed = counted(df.withColumn("_cves", cves), "enriched")
+        return listed.withColumn("cves_enriched", _lookup(keyed)("_cves")).drop("_cves")
     mentions = element_rows(df, "report_id", cves, "cve").withColumn("cve_key", F.upper("cve"))
     joined = lookup_join(
         mentions, keyed, ["cve_key"], spread_by=["report_id", "pos"], **join_options
