@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.core import WORD, find_all
+from ..functions.core import WORD, bind, find_all
 from .joins import lookup_join
 from .rows import element_rows, struct_rows
 
@@ -38,40 +38,42 @@ def gazetteer_spans(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
     """Occurrences of gazetteer names, overlaps not yet resolved: report_id, start, length, name, bucket.
 
     Texts are cut into word tokens and single separators, so a run of tokens joined together is the
-    text as written and can be matched to a name by equality. Only run lengths that occur among the
-    names are built.
+    text as written and can be matched to a name by equality. Places whose token starts no name are
+    dropped first; runs are built for the others only, of the lengths that occur among the names.
     """
     names = (
         gaz.select(F.lower("name").alias("key"), "bucket")
         .distinct()
-        .withColumn("length", F.size(find_all(F.col("key"), _TOKEN)))
+        .withColumn("_parts", find_all(F.col("key"), _TOKEN))
+        .select("key", "bucket", F.get("_parts", F.lit(0)).alias("first"), F.size("_parts").alias("length"))
     )
-    lengths = names.agg(F.sort_array(F.collect_set("length"))).first()[0]
+    lengths = names.agg(F.sort_array(F.collect_set("length"))).first()[0] or [1]
     tokens = df.select("report_id", find_all(F.col("text"), _TOKEN).alias("tokens"))
-
-    def runs(n):
-        starts = F.when(
-            F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)
-        ).otherwise(F.array().cast("array<int>"))
-        words = F.filter(starts, lambda i: F.get("tokens", i).rlike(r"\S"))
-        return F.transform(
-            words,
-            lambda i: F.struct(
-                i.alias("start"),
-                F.lit(n).alias("length"),
-                F.array_join(F.slice("tokens", i + 1, n), "").alias("name"),
+    places = bind(
+        F.col("tokens"),
+        lambda ts: F.transform(
+            F.filter(
+                F.transform(ts, lambda t, i: F.struct(i.alias("start"), F.lower(t).alias("first"))),
+                lambda p: F.trim(p["first"]) != "",
             ),
-        )
-
-    if not lengths:
-        lengths = [1]
-    exploded = struct_rows(tokens, "report_id", F.concat(*[runs(n) for n in lengths])).withColumn(
-        "key", F.lower("name")
+            lambda p: F.struct(
+                p["start"].alias("start"),
+                p["first"].alias("first"),
+                F.slice(ts, p["start"] + 1, lengths[-1]).alias("ahead"),
+            ),
+        ),
+    )
+    spread = {"spread_by": ["report_id", "start"], **join_options}
+    begun = lookup_join(
+        struct_rows(tokens, "report_id", places), names.select("first").distinct(), ["first"],
+        how="left_semi", **spread,
     )
-    spans = lookup_join(
-        exploded, names.drop("length"), ["key"], how="inner", spread_by=["report_id", "start"],
-        **join_options,
+    runs = F.transform(
+        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.size("ahead")),
+        lambda n: F.struct(n.alias("length"), F.array_join(F.slice("ahead", 1, n), "").alias("name")),
     )
+    built = struct_rows(begun, ["report_id", "start"], runs).withColumn("key", F.lower("name"))
+    spans = lookup_join(built, names.select("key", "bucket"), ["key"], how="inner", **spread)
     return spans.select("report_id", "start", "length", "name", "bucket")
 
 

@@ -27,7 +27,7 @@ def analyze_reports(
     yearless_dates: bool = False,
     keep_text: bool = False,
 ) -> DataFrame:
-    """Analyse reports (report_id, filename, text): one row of nested results for each.
+    """Analyse reports (report_id, filename, text): one row of nested results for each. Ids are unique.
 
     Every step is a projection of the row it reads, CVSS lookup included while the dimension is of
     checked size, so the plan has no shuffle: it runs as one stage over however many splits.

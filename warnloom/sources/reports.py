@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import IOC_LABELS
+from ..operators.joins import BROADCAST_ROWS, is_small
 
 RESULT_TYPE = (
     "struct<filename: string, word_count: int, threat_type: string,"
@@ -45,21 +46,23 @@ def list_reports(reports: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
-def _id_table(reports: DataFrame, ids: DataFrame | Iterable[int]) -> DataFrame:
+def _join_ids(reports: DataFrame, ids: DataFrame | Iterable[int], how: str) -> DataFrame:
+    """Join with distinct ids. A list counted to be small is broadcast, so the wide rows stay put."""
     if not isinstance(ids, DataFrame):
         ids = reports.sparkSession.createDataFrame([(i,) for i in ids], "report_id BIGINT")
-    return ids.select("report_id").distinct()
+    ids = ids.select("report_id").distinct()
+    return reports.join(F.broadcast(ids) if is_small(ids, BROADCAST_ROWS) else ids, "report_id", how)
 
 
 def get_reports_by_id(reports: DataFrame, ids: DataFrame | Iterable[int]) -> DataFrame:
     """The reports with these ids; ids without a report give no row."""
-    return reports.join(_id_table(reports, ids), "report_id", "left_semi")
+    return _join_ids(reports, ids, "left_semi")
 
 
 def delete_reports(reports: DataFrame, ids: DataFrame | Iterable[int]) -> DataFrame:
     """The reports without these ids, to be written as a new version of the table (never over the
     path being read). Unknown ids change nothing."""
-    return reports.join(_id_table(reports, ids), "report_id", "left_anti")
+    return _join_ids(reports, ids, "left_anti")
 
 
 def result_to_json(reports: DataFrame) -> DataFrame:
