@@ -30,6 +30,7 @@ def arr(items) -> str:
     return "[" + ", ".join(q(x) for x in items) + "]"
 
 
+# White space, date shapes, plain indicator patterns and entity noise.
 SPACE_CODES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACES = " || ".join(f"chr({c})" for c in SPACE_CODES)
