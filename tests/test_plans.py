@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from warnloom.operators import cvss, entities, indicators, narrative, similarity
 from warnloom.operators.joins import lookup_join
-from warnloom.plans.analyze import analyze_reports
+from warnloom.plans.analyze import analyze_reports, spread_input
 from warnloom.sources.staging import stage
 
 
@@ -122,3 +122,18 @@ def test_lookup_join_spreads_a_hot_key(spark):
     assert "_salt" in plan_of(salted)
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
     assert salted.count() == 3000 and salted.filter("value = 1").count() == 1000
+
+
+def test_an_analysis_can_meet_itself(stored, dimension):
+    once = analyze_reports(stored.filter("report_id < 20"), dimension)
+    assert once.union(once).count() == 40
+    critical = once.filter("severity = 'Critical'").select("report_id")
+    assert once.join(critical, "report_id", "left_semi").count() == 20
+    assert once.alias("a").join(once.alias("b"), F.col("a.report_id") == F.col("b.report_id")).count() == 20
+
+
+def test_small_inputs_are_spread_and_large_ones_left_alone(spark, stored):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread_input(stored.coalesce(1)).rdd.getNumPartitions() == cores
+    many = stored.repartition(cores + 1)
+    assert spread_input(many) is many
