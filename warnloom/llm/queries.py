@@ -23,6 +23,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +72,7 @@ def op10_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
