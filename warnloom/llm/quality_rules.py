@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import bind
 from ..operators.joins import lookup_join
+from ..operators.metrics import counted
 from ..sources.staging import stage
 from .words import SPACE, word_array
 
@@ -43,23 +44,23 @@ def repeat_words(words: Column) -> Column:
 
     Windows are hashed and sorted with their positions (n log n); those equal to a neighbour repeat, and
     each covers the words up to the next one's start, three at most."""
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
-    repeated = bind(
-        F.sort_array(windows),
-        lambda s: F.filter(s, lambda e, k: ((k > 0) & (F.get(s, F.greatest(k - 1, F.lit(0)))["h"] == e["h"])) | F.coalesce(F.get(s, k + 1)["h"] == e["h"], F.lit(False))),
-    )
-    at = F.sort_array(F.transform(repeated, lambda e: e["i"]))
-    covered = bind(
-        at,
-        lambda a: F.aggregate(
-            F.transform(a, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(a, k + 1), p + 3) - p)), F.lit(0), lambda total, n: total + n
-        ),
-    )
-    distinct = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    return F.when(F.size(words) < 4, 0).when(F.size(distinct) == F.size(words) - 2, 0).otherwise(covered).cast("long")
+    return bind(words, _repeat_words)
+
+
+def _repeat_words(words: Column) -> Column:
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+
+    def covered(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        repeated = bind(
+            placed,
+            lambda s: F.filter(s, lambda e, k: ((k > 0) & (F.get(s, F.greatest(k - 1, F.lit(0)))["h"] == e["h"])) | F.coalesce(F.get(s, k + 1)["h"] == e["h"], F.lit(False))),
+        )
+        at = F.sort_array(F.transform(repeated, lambda e: e["i"]))
+        reach = bind(at, lambda a: F.transform(a, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(a, k + 1), p + 3) - p)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(F.aggregate(reach, F.lit(0), lambda total, n: total + n))
+
+    return F.when(F.size(words) < 4, 0).otherwise(bind(hashes, covered)).cast("long")
 
 
 def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,5 +161,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = stage(quality_metrics(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "quality"), "quality")
     cutoffs = stage(choose_cutoffs(measured, labels), "cutoffs")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", "lang")
-    judged = judge(quality_metrics(row), cutoffs)
+    # Without the barrier the filter would be moved to the scan, and the numbers computed once for each use there.
+    judged = judge(counted(quality_metrics(row), "quality"), cutoffs)
     return judged.filter("kept").select("_row.*")
