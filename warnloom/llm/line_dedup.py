@@ -25,37 +25,61 @@ SHORTEST = 20
 LAST = (1 << 63) - 1
 
 
-def segment(length: Column, i: int, most: int) -> tuple[Column, Column]:
+def segment(length: Column, i: Column, most: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment i of a line: equal parts, the later ones longer by the rest."""
     size = F.floor(length / (most + 1)).cast("int")
     plain = most + 1 - (length - size * (most + 1))  # so many have the smaller size
-    return size * i + F.greatest(F.lit(i) - plain, F.lit(0)), size + (F.lit(i) >= plain).cast("int")
+    return size * i + F.greatest(i - plain, F.lit(0)), size + (i >= plain).cast("int")
 
 
-def line_keys(line: Column, most: int = MOST) -> Column:
-    """Array of struct(key, index): the segments of a line, and the substrings to probe for.
+def line_keys(lines: DataFrame, most: int = MOST) -> DataFrame:
+    """hash, key, index: the segments of each line (index), and all substrings to probe for, segments included.
 
     A substring stands at most i edits from where segment i starts, counted from the left, and at most
-    most - i counted from the right; both hold at once for one segment of any near pair."""
-    length, keys = F.length(line), []
-
-    def key(i: int, of: Column, start: Column, size: Column) -> Column:
-        return F.xxhash64(F.lit(i), of, F.substring(line, start + 1, size))
-
+    most - i counted from the right; both hold at once for one segment of any near pair. Lines are crossed
+    with the short list of places as rows: one small expression instead of many, which compiles well."""
+    places = []
     for i in range(most + 1):
-        start, size = segment(length, i, most)
-        keys.append(F.struct(key(i, length, start, size).alias("key"), F.lit(True).alias("index")))
         for less in range(most + 1):
-            start, size = segment(length - less, i, most)
-            low, high = max(-i, less - (most - i)), min(i, less + (most - i))
-            for shift in range(low, high + 1):
-                fits = (start + shift >= 0) & (start + shift + size <= length)
-                keys.append(F.struct(F.when(fits, key(i, length - less, start + shift, size)).alias("key"), F.lit(False).alias("index")))
-    return F.array(*keys)
+            for shift in range(max(-i, less - (most - i)), min(i, less + (most - i)) + 1):
+                places.append(f"named_struct('i', {i}, 'less', {less}, 'shift', {shift})")
+    rows = lines.select("hash", "line", F.length("line").alias("n"), F.explode(F.expr(f"array({', '.join(places)})")).alias("p"))
+    i, less, shift = F.col("p.i"), F.col("p.less"), F.col("p.shift")
+    start, size = segment(F.col("n") - less, i, most)
+    rows = rows.select("hash", "line", "n", i.alias("i"), less.alias("less"), shift.alias("shift"), (start + shift).alias("start"), size.alias("size"))
+    rows = rows.filter("start >= 0 AND start + size <= n")
+    key = F.xxhash64("i", F.col("n") - F.col("less"), F.substring(F.col("line"), F.col("start") + 1, F.col("size")))
+    return rows.select("hash", key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("index"))
+
+
+def shared_start(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix, by halving."""
+    least = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    longer = lambda n, step: F.when((n + step <= least) & (F.substring(a, F.lit(1), n + step) == F.substring(b, F.lit(1), n + step)), n + step).otherwise(n)
+    return F.aggregate(steps, F.lit(0), longer)
 
 
 def within(a: Column, b: Column, most: int = MOST) -> Column:
-    """Whether the edit distance is at most `most`.
+    """Whether the edit distance is at most `most`. What both begin or end with is cut off first: that
+    leaves the distance as it is, and little to compare."""
+
+    def cut(x: Column, y: Column, then) -> Column:
+        """`then` of both without their common prefix."""
+        return bind(
+            F.struct(x.alias("x"), y.alias("y")),
+            lambda p: bind(
+                shared_start(p["x"], p["y"]),
+                lambda n: bind(F.struct(F.substring(p["x"], n + 1, F.length(p["x"])).alias("x"), F.substring(p["y"], n + 1, F.length(p["y"])).alias("y")), lambda q: then(q["x"], q["y"])),
+            ),
+        )
+
+    apart = F.abs(F.length(a) - F.length(b)) > most
+    return F.when(apart, False).otherwise(cut(a, b, lambda x, y: cut(F.reverse(x), F.reverse(y), lambda u, v: banded(u, v, most))))
+
+
+def banded(a: Column, b: Column, most: int) -> Column:
+    """Whether the edit distance is at most `most`, for strings whose lengths differ by no more.
 
     One bit for each diagonal of the band, one word for each number of edits: bit k of word d says that the
     characters of b read so far match a prefix of a that is k - most longer, with d edits. A step keeps the bits
@@ -91,7 +115,7 @@ def within(a: Column, b: Column, most: int = MOST) -> Column:
         ),
     )
     end = F.call_function("shiftright", F.get(words, F.lit(most)), F.length(a) - F.length(b) + most)
-    return F.when(F.abs(F.length(a) - F.length(b)) > most, False).otherwise(end.bitwiseAND(one) == 1)
+    return end.bitwiseAND(one) == 1
 
 
 def lines_of(docs: DataFrame, shortest: int) -> DataFrame:
@@ -104,11 +128,11 @@ def lines_of(docs: DataFrame, shortest: int) -> DataFrame:
 
 def near_lines(lines: DataFrame, most: int) -> DataFrame:
     """hash of each line that has an earlier line, not equal to it, within `most` edits."""
-    keyed = lines.select("hash", F.explode(line_keys(F.col("line"), most)).alias("k")).select("hash", "k.key", "k.index").filter("key IS NOT NULL")
+    keyed = line_keys(lines, most)
     shared = keyed.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.max("index").alias("index"))
     shared = stage(shared.filter("low < high AND index").select("key"), "line-keys")
     members = stage(lookup_join(keyed, shared, ["key"], "inner", spread_by=["hash"]).distinct(), "line-members")
-    probes = members.filter("NOT index").select("key", F.col("hash").alias("probe"))
+    probes = members.select("key", F.col("hash").alias("probe")).distinct()
     pairs = stage(members.filter("index").select("key", "hash").join(probes, "key").filter("hash <> probe").select("hash", "probe").distinct(), "line-pairs")
     wanted = stage(pairs.select("hash").union(pairs.select("probe")).distinct(), "line-hashes")
     texts = lookup_join(lines, wanted, ["hash"], "inner", spread_by=["key", "pos"]).groupBy("hash").agg(F.min(F.struct("doc", "key", "pos")).alias("first"), F.min("line").alias("line"))
