@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indicators import ioc_total
-from .rows import element_rows
+from .rows import element_rows, newest_first
 
 
 def dashboard_scope(reports: DataFrame, newest: int | None = 200) -> DataFrame:
-    """The newest reports by id, or all of them with `newest=None`."""
+    """The newest reports by time and id, or all of them with `newest=None`."""
     if newest is None:
         return reports
-    return reports.orderBy(F.desc("report_id")).limit(newest)
+    return reports.orderBy(*newest_first(reports)).limit(newest)
 
 
 def severity_distribution(reports: DataFrame) -> DataFrame:

@@ -25,3 +25,9 @@ def struct_rows(df: DataFrame, keep, array: Column | str, pos: str | None = None
     keep = [keep] if isinstance(keep, str) else list(keep)
     rows = element_rows(df, keep, array, "_x", pos)
     return rows.select(*keep, *([pos] if pos else []), "_x.*")
+
+
+def newest_first(reports: DataFrame) -> list[Column]:
+    """The order of reports by time, then id. Ids alone say nothing of time: those of files are hashes.
+    Reports that were never saved have no time and go by id."""
+    return [F.desc(c) for c in ("created_at", "report_id") if c in reports.columns]

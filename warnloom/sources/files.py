@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.cvss import RECORD
 from ..functions.text import decode_bytes
 
+_TEXT_FILES = "*.[tT][xX][tT]"
 _BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
@@ -30,10 +31,10 @@ def decode_report_files(files: DataFrame) -> DataFrame:
 
 
 def read_text_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Every .txt file below `path`: report_id, filename, text. UTF-8, else Latin-1."""
+    """Every .txt file below `path`, in any letter case: report_id, filename, text. UTF-8, else Latin-1."""
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{txt,TXT,Txt}")
+        .option("pathGlobFilter", _TEXT_FILES)
         .option("recursiveFileLookup", "true")
         .load(path)
     )
@@ -41,11 +42,12 @@ def read_text_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_text_reports(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
-    """The same for .txt files that arrive in a folder, as a stream."""
+    """The same for .txt files that arrive below a folder, as a stream."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(_BINARY_SCHEMA)
-        .option("pathGlobFilter", "*.{txt,TXT,Txt}")
+        .option("pathGlobFilter", _TEXT_FILES)
+        .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(path)
     )
@@ -76,7 +78,9 @@ def parse_cvss_json(df: DataFrame, json: str = "value") -> DataFrame:
     no rows; a null record gives a row of nulls."""
     return (
         df.select(F.from_json(json, f"map<string, {RECORD}>").alias("m"))
-        .select(F.explode("m").alias("cve_id", "r"))
+        # The outer kind: the other would have the JSON parsed again for a filter on its size.
+        .select(F.explode_outer("m").alias("cve_id", "r"))
+        .filter("cve_id IS NOT NULL")
         .select("cve_id", "r.score", "r.severity", "r.vector", "r.version")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import IOC_LABELS
 from ..operators.joins import BROADCAST_ROWS, is_small
+from ..operators.rows import newest_first
 
 RESULT_TYPE = (
     "struct<filename: string, word_count: int, threat_type: string,"
@@ -30,20 +31,30 @@ RESULT_FIELDS = [
 
 
 def save_reports(df: DataFrame, path: str) -> DataFrame:
-    """Append analysed reports, stamped to the second, and return the table. Ids are the source's
-    own; numbering rows would force a global order."""
-    stamped = df.withColumn("created_at", F.date_trunc("second", F.current_timestamp()))
+    """Append analysed reports and return the table. Reports that have no `created_at` yet get the current
+    second; others keep theirs. Ids are the source's own; numbering rows would force a global order."""
+    stamped = _stamped(df)
     stamped.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(stamped.schema).parquet(path)
 
 
-def list_reports(reports: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest reports first, by id, without the heavy columns."""
-    return (
-        reports.select("report_id", "filename", "threat_type", "severity", "created_at")
-        .orderBy(F.desc("report_id"))
-        .limit(limit)
-    )
+def write_version(df: DataFrame, path: str) -> DataFrame:
+    """Write reports, such as those a deletion leaves, as a table of its own at a new path, and return it.
+    Times of creation are kept. A path that exists is an error, so no table is overwritten while read."""
+    stamped = _stamped(df)
+    stamped.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(stamped.schema).parquet(path)
+
+
+def _stamped(df: DataFrame) -> DataFrame:
+    now = F.date_trunc("second", F.current_timestamp())
+    return df.withColumn("created_at", F.coalesce("created_at", now) if "created_at" in df.columns else now)
+
+
+def list_reports(reports: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Newest reports first, without the heavy columns; all of them with `limit=None`."""
+    listed = reports.select("report_id", "filename", "threat_type", "severity", "created_at").orderBy(*newest_first(reports))
+    return listed if limit is None else listed.limit(limit)
 
 
 def _join_ids(reports: DataFrame, ids: DataFrame | Iterable[int], how: str) -> DataFrame:
