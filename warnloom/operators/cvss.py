@@ -24,8 +24,10 @@ def parse_nvd_metrics(df: DataFrame, json: str = "json") -> DataFrame:
 
 
 def _keyed(cvss: DataFrame) -> DataFrame:
+    """One record for each id. Of repeated ids the highest score counts, then the greater other fields;
+    a record without a score, as a failed lookup leaves it, only where there is no other."""
     return cvss.groupBy(F.upper("cve_id").alias("cve_key")).agg(
-        F.min(F.struct(*_FIELDS)).alias("record")
+        F.max(F.struct(*_FIELDS)).alias("record")
     )
 
 
@@ -54,17 +56,17 @@ def _enriched_entry(cve: Column, record: Column) -> Column:
     return F.struct(cve.alias("id"), *[record[f].alias(f) for f in _FIELDS])
 
 
-def enrich_cves(df: DataFrame, cvss: DataFrame, in_row_rows: int = IN_ROW_ROWS, **join_options) -> DataFrame:
+def enrich_cves(df: DataFrame, cvss: DataFrame, in_row_rows: int | None = None, **join_options) -> DataFrame:
     """Add `cves_enriched`: for each CVE, in order and as written, its CVSS record or nulls.
 
-    A dimension counted to have at most `in_row_rows` rows is broadcast and looked up for the array of
+    A dimension counted to have at most `in_row_rows` (IN_ROW_ROWS) rows is broadcast and looked up for the array of
     each row, so wide report rows are never exploded or shuffled. (An array cannot be the key of a
     broadcast join.) A larger one is joined to the exploded CVEs alone, and only the collected result
     meets the reports again.
     """
     keyed = _keyed(cvss)
     cves = F.col("iocs.cves")
-    if is_small(cvss, in_row_rows):
+    if is_small(cvss, IN_ROW_ROWS if in_row_rows is None else in_row_rows):
         # The count keeps the CVE search a column of its own. Merged into the argument, its nested
         # lambdas can stop Spark from recognising the function as one to run in Python.
         listed = counted(df.withColumn("_cves", cves), "enriched")

@@ -28,6 +28,13 @@ def filter_min_length(df: DataFrame, min_chars: int = T.MIN_CHARS) -> DataFrame:
     return df.filter(F.length(strip(F.col("text"))) >= min_chars)
 
 
+def split_min_length(df: DataFrame, min_chars: int = T.MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) by the same rule; a null text is rejected. Rejected rows say why in `reason`."""
+    long = F.coalesce(F.length(strip(F.col("text"))) >= min_chars, F.lit(False))
+    reason = F.lit(f"fewer than {min_chars} characters")
+    return df.filter(long), df.filter(~long).withColumn("reason", reason)
+
+
 def split_sentences(df: DataFrame) -> DataFrame:
     """One row for each sentence: report_id, sent_idx, sentence."""
     return element_rows(df, "report_id", T.sentences(F.col("text")), "sentence", pos="sent_idx")

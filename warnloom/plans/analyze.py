@@ -25,15 +25,18 @@ def analyze_reports(
     cvss: DataFrame | None = None,
     cvss_lookup: bool = True,
     yearless_dates: bool = False,
-    keep_text: bool = False,
+    keep_text: bool = True,
+    min_chars: int | None = None,
 ) -> DataFrame:
     """Analyse reports (report_id, filename, text): one row of nested results for each. Ids are unique.
 
     Every step is a projection of the row it reads, CVSS lookup included while the dimension is of
     checked size, so the plan has no shuffle: it runs as one stage over however many splits.
-    `keep_text` keeps the normalised text beside the excerpt.
+    `keep_text` keeps the normalised text beside the excerpt: the search for similar reports reads it.
+    With `min_chars`, reports of fewer characters are left out, as on a stream;
+    `text.split_min_length` gives the rejected ones.
     """
-    out = text.normalise(df)
+    out = text.normalise(df if min_chars is None else text.filter_min_length(df, min_chars))
     out = classify.with_keywords(indicators.extract_iocs(out))
     out = narrative.with_sentences(entities.extract_entities(out))
     out = classify.classify_severity(classify.classify_threat_type(out))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.text import MIN_CHARS
 from ..plans.analyze import analyze_reports
-from ..operators.text import filter_min_length
 
 
 def analyze_stream(
@@ -16,22 +16,24 @@ def analyze_stream(
     checkpoint: str,
     cvss: DataFrame | None = None,
     available_now: bool = True,
+    min_chars: int | None = MIN_CHARS,
     **options,
 ) -> StreamingQuery:
-    """Analyse a stream of reports (report_id, filename, text) into a Parquet table.
+    """Analyse a stream of reports (report_id, filename, text) into a Parquet table with a folder for each
+    micro-batch (column `batch`).
 
-    The analysis keeps no state between reports, so it runs on the stream itself and the file sink
-    with its checkpoint makes each report appear exactly once.
+    Reports of fewer than `min_chars` characters are left out, as by `analyze_reports` with the same
+    argument; None keeps all. Each micro-batch is analysed as a table, so a CVSS dimension of any size works and
+    is read anew every time. A batch that runs again after a failure overwrites its own folder: each
+    report appears exactly once.
     """
-    analysed = analyze_reports(filter_min_length(reports), cvss, **options).withColumn(
-        "created_at", F.date_trunc("second", F.current_timestamp())
-    )
-    writer = (
-        analysed.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-    )
+
+    def analyse(batch: DataFrame, number: int) -> None:
+        analysed = analyze_reports(batch, cvss, min_chars=min_chars, **options)
+        stamped = analysed.withColumn("created_at", F.date_trunc("second", F.current_timestamp()))
+        stamped.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = reports.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
