@@ -25,7 +25,7 @@ ENDINGS = [
     "published 2024-02-13. Cisco gear is safe.",
     "Data breach confirmed 03/15/2026. The group exfiltrated files, leaked them and stole data.",
     "Trojan dropper with rootkit found. Suspicious hosts 10.0.0.1, 10.0.0.2, 10.0.0.3, 10.0.0.4 "
-    "and 10.0.0.5 seen.",
+    "and 10.0.0.5 seen. Its hash is 44d88612fea8a8f36de82e1278abb02f44d88612fea8a8f36de82e1278abb02f.",
     "Password spray, then mimikatz dumping of lsass. Every credential was reset.",
     "An advanced persistent nation-state APT29 group ran espionage with lateral movement by psexec.",
 ]
