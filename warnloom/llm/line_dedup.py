@@ -33,7 +33,7 @@ def segment(length: Column, i: Column, most: int) -> tuple[Column, Column]:
 
 
 def line_keys(lines: DataFrame, most: int = MOST) -> DataFrame:
-    """hash, key, index: the segments of each line (index), and all substrings to probe for, segments included.
+    """hash, key, less (how much shorter the other line is), index: the segments of each line (index), and all substrings to probe for, segments included.
 
     A substring stands at most i edits from where segment i starts, counted from the left, and at most
     most - i counted from the right; both hold at once for one segment of any near pair. Lines are crossed
@@ -49,7 +49,7 @@ def line_keys(lines: DataFrame, most: int = MOST) -> DataFrame:
     rows = rows.select("hash", "line", "n", i.alias("i"), less.alias("less"), shift.alias("shift"), (start + shift).alias("start"), size.alias("size"))
     rows = rows.filter("start >= 0 AND start + size <= n")
     key = F.xxhash64("i", F.col("n") - F.col("less"), F.substring(F.col("line"), F.col("start") + 1, F.col("size")))
-    return rows.select("hash", key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("index"))
+    return rows.select("hash", key.alias("key"), "less", ((F.col("less") == 0) & (F.col("shift") == 0)).alias("index"))
 
 
 def shared_start(a: Column, b: Column) -> Column:
@@ -126,17 +126,29 @@ def lines_of(docs: DataFrame, shortest: int) -> DataFrame:
     return rows.filter(F.length("line") >= shortest).select("doc", "key", "pos", F.xxhash64("line").alias("hash"), "line")
 
 
+def parities(line: Column) -> Column:
+    """64 bits: of each class of characters, whether their number is odd. An edit changes two bits at most, so
+    lines within n edits differ in 2 n bits at most: a bound that rules out most pairs of a group of near
+    copies before they are made."""
+    flip = lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64))))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), flip)
+
+
 def near_lines(lines: DataFrame, most: int) -> DataFrame:
     """hash of each line that has an earlier line, not equal to it, within `most` edits."""
     keyed = line_keys(lines, most)
     shared = keyed.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.max("index").alias("index"))
     shared = stage(shared.filter("low < high AND index").select("key"), "line-keys")
     members = stage(lookup_join(keyed, shared, ["key"], "inner", spread_by=["hash"]).distinct(), "line-members")
-    probes = members.select("key", F.col("hash").alias("probe")).distinct()
-    pairs = stage(members.filter("index").select("key", "hash").join(probes, "key").filter("hash <> probe").select("hash", "probe").distinct(), "line-pairs")
-    wanted = stage(pairs.select("hash").union(pairs.select("probe")).distinct(), "line-hashes")
+    wanted = stage(members.select("hash").distinct(), "line-hashes")
     texts = lookup_join(lines, wanted, ["hash"], "inner", spread_by=["key", "pos"]).groupBy("hash").agg(F.min(F.struct("doc", "key", "pos")).alias("first"), F.min("line").alias("line"))
-    texts = stage(texts, "line-texts")
+    texts = stage(texts.withColumn("sketch", parities(F.col("line"))), "line-texts")
+    known = members.join(texts.select("hash", "sketch"), "hash")
+    indexed = known.filter("index").select("key", "hash", "sketch").distinct()
+    probes = known.select("key", F.col("hash").alias("probe"), F.col("sketch").alias("probe_sketch"), "less").distinct()
+    # Of lines of one length, each pair is found from both sides; one is enough.
+    may_be = F.expr(f"hash <> probe AND (less > 0 OR hash < probe) AND bit_count(sketch ^ probe_sketch) <= {2 * most}")
+    pairs = indexed.join(probes, (indexed["key"] == probes["key"]) & may_be).select("hash", "probe").distinct()
     a, b = (texts.select(F.col("hash").alias(h), F.col("first").alias(f"{h}_first"), F.col("line").alias(f"{h}_line")) for h in ("hash", "probe"))
     near = pairs.join(a, "hash").join(b, "probe").filter(within(F.col("hash_line"), F.col("probe_line"), most))
     return near.select(F.when(F.col("hash_first") < F.col("probe_first"), F.col("probe")).otherwise(F.col("hash")).alias("hash")).distinct()
