@@ -90,7 +90,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     items = stage(items.withColumn("item_print", simhash(F.col("item_shingles"))), "benchmark")
     index = items.select("item_id", "item_words", F.posexplode("item_shingles").alias("offset", "shingle")).groupBy("shingle", "item_id", "item_words").agg(F.collect_list("offset").alias("offsets"))
 
-    read = docs.select(row_key(id_col, text).alias("_key"), F.col(id_col).alias("_id"), plain_words(F.col(text)).alias("_w"))
+    read = docs.select(row_key(id_col, text).alias("_key"), plain_words(F.col(text)).alias("_w"))
     # Items of fewer words than a shingle are one shingle of that width; such widths are looked for too.
     widths = [r[0] for r in items.select(F.least("item_words", F.lit(WIDTH))).distinct().collect()]
     seen = None
@@ -101,7 +101,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     laid = hits.select("_key", "item_id", F.explode("offsets").alias("o"), "pos").select("_key", "item_id", F.greatest(F.col("pos") - F.col("o"), F.lit(0)).alias("start"))
     windows = stage(laid.distinct(), "windows")
 
-    found = lookup_join(read, windows, ["_key"], "inner", spread_by=["_key"])
+    # Texts are cut into words after the join, so only those with a window.
+    texts = docs.select(row_key(id_col, text).alias("_key"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    found = lookup_join(texts, windows, ["_key"], "inner", spread_by=["_key"]).withColumn("_w", plain_words(F.col("_text"))).drop("_text")
     found = lookup_join(found, items, ["item_id"], "inner", spread_by=["_key", "start"])
     found = found.withColumn("window", shingles(F.slice("_w", F.col("start") + 1, F.col("item_words")))).drop("_w")
     found = found.withColumn("print", simhash(F.col("window")))
