@@ -144,6 +144,16 @@ def test_similarity_reads_whole_stored_texts(spark, report):
     assert [r.report_id for r in found] == [1]
 
 
+def test_gazetteer_names_and_rule_names(spark, report):
+    """A malware or product name overrides a name of the gazetteer that overlaps it."""
+    names = [("Cisco Systems", "organizations"), ("Windows", "locations"), ("Acme Corp", "organizations"), ("Berlin", "locations"), ("Emotet", "malware")]
+    gaz = spark.createDataFrame(names, "name STRING, bucket STRING")
+    found = analyze_reports(report("Acme Corp of Berlin runs Cisco Systems gear and Windows Server. acme corp again.", "Nothing here."), gazetteer=gaz)
+    got = {r.report_id: r.entities for r in found.collect()}
+    assert (got[1].organizations, got[1].locations) == (["Acme Corp"], ["Berlin"])
+    assert got[1].products == ["Cisco", "Windows Server"] and (got[2].organizations, got[2].locations) == ([], [])
+
+
 def test_files_of_any_case_below_the_folder(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     for name in ("a.txt", "b.TXT", "c.tXt", "sub/d.txt", "e.md"):

@@ -109,6 +109,24 @@ def extract_gazetteer(df: DataFrame, gaz: DataFrame, **join_options) -> DataFram
     )
 
 
+def gazetteer_lists(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
+    """report_id, organizations, locations: the names of each report that has any. Where a malware or
+    product name overlaps a name of the gazetteer, only the former is found."""
+    masked = df.select("report_id", N.without_names(F.col("text")).alias("text"))
+    found = extract_gazetteer(masked, gaz.filter(F.col("bucket").isin("organizations", "locations")), **join_options)
+    pick = lambda bucket: F.sort_array(F.collect_list(F.when(F.col("bucket") == bucket, F.struct("pos", "name"))))
+    return found.groupBy("report_id").agg(*[F.transform(pick(b), lambda x: x["name"]).alias(b) for b in ("organizations", "locations")])
+
+
+def with_gazetteer(df: DataFrame, lists: DataFrame) -> DataFrame:
+    """`entities` with the organisations and locations of `gazetteer_lists`. Joins by report, which moves rows."""
+    filled = F.col("entities")
+    for bucket in ("organizations", "locations"):
+        filled = filled.withField(bucket, F.coalesce(F.col(f"_{bucket}"), F.array().cast("array<string>")))
+    named = lists.select("report_id", F.col("organizations").alias("_organizations"), F.col("locations").alias("_locations"))
+    return df.join(named, "report_id", "left").withColumn("entities", filled).drop("_organizations", "_locations")
+
+
 def drop_ioc_noise(df: DataFrame, entity: str = "entity") -> DataFrame:
     """Drop entities that are an address or a domain."""
     return df.filter(~N.is_noise(F.col(entity)))
@@ -117,7 +135,7 @@ def drop_ioc_noise(df: DataFrame, entity: str = "entity") -> DataFrame:
 def extract_entities(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Add `entities`: malware, products, organizations, locations.
 
-    The last two need a model or a gazetteer (see `extract_gazetteer`) and are empty here. The
+    The last two need a gazetteer (see `with_gazetteer`) and are empty here. The
     whole text is scanned unless `max_chars` sets a bound.
     """
     text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
