@@ -42,3 +42,15 @@ def test_rows_nulls_repeats_and_clashing_columns(spark):
     got = sorted(map(tuple, token_counts(docs, PATH).collect()), key=repr)
     assert got == sorted([(1, 11, 2, False), (1, 11, 2, False), (None, 0, 0, False), (3, 0, 0, False), (4, 3000, 601, True)], key=repr)
     assert token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_special_strings_equal_the_library_unchanged(spark):
+    rng = random.Random(8)
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "'", "s", "don't", " word", "42", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    texts += ["<|endoftext|>", "<|endoftext|>" * 600, "a  <|endoftext|>  b", "don'<|endoftext|>t", "x" * 2000 + "<|endoftext|>"]
+    want = [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert counts_of(PATH, texts, encode_special_tokens=False).tolist() == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: (r.n_tokens, r.over_limit) for r in token_counts(docs, PATH).collect()}
+    assert got == {i: (n, n > 512) for i, n in enumerate(want)}

@@ -5,6 +5,8 @@
   chunk is first turned into a state map (for every entry state, the state it leaves in), the maps
   are composed by a parallel prefix scan, and with all entry states known every chunk is run once more
   for its cuts.
+* Added tokens of the vocabulary file stand outside of both, as in the library: a text is split at them first,
+  each is one token, and nothing is cut or merged across one.
 * A counting transducer over bytes: a state is a prefix, annotated with its last token and the number of
   tokens of its encoding. The last token of a longer prefix is the one suffix token that can follow
   the encoding of what stands before it, so a transition adds one to the count of an earlier state.
@@ -15,6 +17,7 @@ Nulls and empty texts have no tokens. Repeated rows give repeated results; other
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -161,7 +164,8 @@ class CountingTransducer(dict):
     def __init__(self, path: str):
         super().__init__()
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model, self.added = whole["model"], whole.get("added_tokens") or []
         names = byte_names()
         read = lambda token: bytes(names[c] for c in token)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -314,19 +318,36 @@ def cut_pieces(boundaries: Boundaries, texts: list[str]) -> tuple[list[str], np.
     return [piece for piece, kept in zip(found, keep.tolist(), strict=True) if kept], ends
 
 
-def counts_of(path: str, texts: list[str]) -> np.ndarray:
-    """Tokens of each text."""
+@lru_cache(4)
+def splitter(path: str, encode_special_tokens: bool) -> re.Pattern | None:
+    """Where texts are split at added tokens, of several that begin at one place the longest; None if at none.
+    Special ones are left out where they are to be encoded like other text."""
+    added = [t for t in compiled(path)[1].added if t["content"] and not (encode_special_tokens and t.get("special"))]
+    odd = [t["content"] for t in added if any(t.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd:
+        raise ValueError(f"added tokens with conditions are not supported: {odd}")
+    return re.compile("|".join(re.escape(t) for t in sorted((t["content"] for t in added), key=len, reverse=True))) if added else None
+
+
+def counts_of(path: str, texts: list[str], encode_special_tokens: bool = True) -> np.ndarray:
+    """Tokens of each text. `encode_special_tokens` is the library's switch: whether special tokens' strings are
+    encoded like other text instead of being one token each."""
     boundaries, transducer = compiled(path)
-    found, ends = cut_pieces(boundaries, texts)
+    split = splitter(path, encode_special_tokens)
+    parts = [split.split(text) for text in texts] if split else [[text] for text in texts]
+    found, ends = cut_pieces(boundaries, [part for some in parts for part in some])
     total = np.concatenate([[0], np.cumsum(np.fromiter(map(transducer.__getitem__, found), np.int64, len(found)))])
-    return np.diff(total[np.concatenate([[0], ends]).astype(np.int64)])
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    upto = total[np.concatenate([[0], ends]).astype(np.int64)][np.concatenate([[0], np.cumsum(sizes)])]
+    return np.diff(upto) + sizes - 1
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: its id, UTF-8 bytes, tokens and whether they exceed `limit`.
 
     `tokenizer` is the path of a byte-level BPE vocabulary (.json) that every worker can read.
-    A null text counts as empty (0 bytes, 0 tokens). No shuffle; memory is bounded by a few MB of text
+    Counts are those of the library without post-processing: strings of added tokens, special ones too, are one
+    token each. A null text counts as empty (0 bytes, 0 tokens). No shuffle; memory is bounded by a few MB of text
     or one document, and by the bounded caches."""
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -335,7 +356,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", 2 << 20):
             texts = batch.column("_text")
-            n = pa.array(counts_of(tokenizer, texts.to_pylist()), pa.int64())
+            n = pa.array(counts_of(tokenizer, texts.to_pylist(), encode_special_tokens=False), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pc.binary_length(texts).cast(pa.int64()), n], ["_id", "n_bytes", "n_tokens"])
 
     counted = read.mapInArrow(count, f"_id {kind}, n_bytes bigint, n_tokens bigint")
