@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .merkle import verify_sql
 from .words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,12 @@ def op10_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verify_documents
+
+    return verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_lm": op2_ngram_lm,
@@ -86,5 +93,6 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_matrices": op10_token_matrices,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_merkle_manifest": verify_sql()}
