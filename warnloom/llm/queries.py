@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lexical import search_sql
 from .merkle import verify_sql
+from .suffix_dedup import dedupe_sql
 from .words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,12 +78,24 @@ def op10_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedupe_report
+
+    return dedupe_report(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import verify_documents
 
     return verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_lm": op2_ngram_lm,
@@ -93,6 +107,8 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_matrices": op10_token_matrices,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLES: dict[str, str] = {"op12_merkle_manifest": verify_sql()}
+ORACLES: dict[str, str] = {"op11_suffix_dedup": dedupe_sql(), "op12_merkle_manifest": verify_sql(), "op13_ranked_search": search_sql()}
