@@ -350,6 +350,28 @@ SIMILAR = [
     "ranked AS (SELECT * FROM scores ORDER BY round(score, 10) DESC, report_id DESC LIMIT 20)",
 ]
 
+# Every turn of a conversation as a query, with the model of the candidates and that turn alone.
+BATCH = [
+    *TERMS,
+    "asked AS (SELECT DISTINCT conv_id || '-' || turn AS query_id, text FROM conversations)",
+    "turns AS (SELECT row_number() OVER (ORDER BY query_id, text) AS report_id, query_id, text FROM asked)",
+    *term_ctes("turns", "q_"),
+    "totals AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS n_docs FROM term_counts GROUP BY term)",
+    vocabulary_cte("term_counts"),
+    "pool AS (SELECT t.report_id AS turn, v.term FROM (SELECT DISTINCT report_id FROM q_term_counts) t CROSS JOIN vocabulary v "
+    "UNION SELECT report_id, term FROM q_term_counts)",
+    "numbers AS (SELECT p.turn, p.term, coalesce(h.total, 0) + coalesce(c.tf, 0) AS total, coalesce(c.tf, 0) AS tf, "
+    f"ln((2.0::DOUBLE + {_n_candidates}) / (1 + coalesce(h.n_docs, 0) + CASE WHEN c.tf IS NULL THEN 0 ELSE 1 END)) + 1 AS idf "
+    "FROM pool p LEFT JOIN totals h USING (term) LEFT JOIN q_term_counts c ON c.report_id = p.turn AND c.term = p.term)",
+    "chosen AS (SELECT * FROM numbers QUALIFY row_number() OVER (PARTITION BY turn "
+    "ORDER BY total DESC, CASE WHEN contains(term, ' ') THEN 2 ELSE 1 END, term) <= 3000)",
+    "lengths AS (SELECT turn, sqrt(sum(tf * idf * tf * idf)) AS length FROM chosen GROUP BY turn)",
+    "scores AS (SELECT turn, d.report_id, sum(d.tf * idf * c.tf * idf) / sqrt(sum(d.tf * idf * d.tf * idf)) AS product "
+    "FROM chosen c JOIN term_counts d USING (term) GROUP BY turn, d.report_id HAVING sum(d.tf * c.tf) > 0)",
+    "placed AS (SELECT turn, report_id, product / length AS score, row_number() OVER (PARTITION BY turn "
+    "ORDER BY round(product / length, 10) DESC, report_id DESC) AS rank FROM scores JOIN lengths USING (turn))",
+]
+
 # The analysed corpus.
 HISTORY = [
     *RATED,
@@ -663,6 +685,11 @@ ORACLES: dict[str, str] = {
         "SELECT c.report_id, c.filename, c.threat_type, c.severity, round(r.score, 3) AS score FROM ranked r "
         "JOIN candidates c USING (report_id) WHERE r.score > 0.01",
     ),
+    "find_similar_batch": with_ctes(
+        BATCH,
+        "SELECT t.query_id, CAST(p.rank AS BIGINT) AS rank, c.report_id, c.filename, c.threat_type, c.severity, round(p.score, 3) AS score "
+        "FROM placed p JOIN turns t ON t.report_id = p.turn JOIN candidates c ON c.report_id = p.report_id WHERE p.rank <= 3 AND round(p.score, 10) > 0.01",
+    ),
     "dashboard_scope": with_ctes(
         RATED, "SELECT report_id, filename, threat_type, severity FROM rated ORDER BY report_id DESC LIMIT 200"
     ),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I
 from ..functions.lexicons import IOC_LABELS, THREAT_KEYWORDS
-from ..operators import classify, cvss, dashboard, entities, indicators, narrative, similarity, text
+from ..operators import classify, cvss, dashboard, entities, incident_index, indicators, narrative, similarity, text
 from ..operators.rows import element_rows, struct_rows
 from ..plans.analyze import analyze_reports, spread_input
 from ..sources import files, reports, staging
@@ -441,6 +441,16 @@ def find_similar_incidents(spark, sf):
     )
 
 
+def conversation_turns(spark, sf):
+    """query_id, text: every turn of the conversations asks for reports like it."""
+    turn = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    return C.table(spark, sf, "conversations").select(turn.alias("query_id"), "text")
+
+
+def find_similar_batch(spark, sf):
+    return incident_index.find_similar_batch(conversation_turns(spark, sf), plain_history(spark, sf), text="text")
+
+
 # Dashboard
 
 def dashboard_scope(spark, sf):
@@ -576,6 +586,7 @@ QUERIES: dict[str, Query] = {
     "tfidf_weights": tfidf_weights,
     "cosine_to_query": cosine_to_query,
     "find_similar_incidents": find_similar_incidents,
+    "find_similar_batch": find_similar_batch,
     "dashboard_scope": dashboard_scope,
     "severity_distribution": severity_distribution,
     "threat_type_distribution": threat_type_distribution,
