@@ -121,3 +121,13 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.slice("w", 2, 3), " ").alias("name"), F.lit("locations").alias("bucket")
     )
     return organisations.unionByName(places).distinct()
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of six labels: the longer words of the benchmark table's texts."""
+    words = F.split(F.lower(F.regexp_replace("text", r"[^A-Za-z]+", " ")), " ")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words).alias("pos", "keyword"))
+    group = F.pmod("item_id", F.lit(6))
+    return rows.filter(F.length("keyword") >= 4).select(
+        F.concat(F.lit("group-"), group.cast("string")).alias("label"), group.cast("int").alias("ord"), "keyword", (F.col("item_id") * 1000 + F.col("pos")).cast("int").alias("kw_ord")
+    )

@@ -491,6 +491,31 @@ GAZETTEER = [
     f"WHERE NOT regexp_matches(name, {q(NOISE)}) GROUP BY report_id, bucket, lower(name))",
 ]
 
+# Rule names are taken out of the text before gazetteer names are looked for.
+MASKED = [
+    f"masked AS (SELECT report_id, regexp_replace(text, {q(names_regex([*MALWARE_NAMES, *PRODUCT_NAMES]))}, chr(1), 'g') AS text FROM norm)",
+    *[cte.replace("FROM norm)", "FROM masked)") for cte in GAZETTEER[2:]],
+    "name_lists AS (SELECT report_id, bucket, string_agg(name, '|' ORDER BY start) AS names FROM first_names GROUP BY report_id, bucket)",
+]
+_places = (
+    "coalesce((SELECT names FROM name_lists n WHERE n.report_id = {0}.report_id AND bucket = 'organizations'), '') AS organizations, "
+    "coalesce((SELECT names FROM name_lists n WHERE n.report_id = {0}.report_id AND bucket = 'locations'), '') AS locations"
+)
+
+# A lexicon of the longer words of the benchmark's texts.
+LEXICON = [
+    f"lexicon_words AS (SELECT item_id, unnest(range(len(w))) AS pos, unnest(w) AS keyword FROM (SELECT item_id, {_gaz_words} AS w FROM benchmark))",
+    "lexicon AS (SELECT 'group-' || (item_id % 6) AS label, item_id % 6 AS ord, keyword, min(item_id * 1000 + pos) AS kw_ord FROM lexicon_words "
+    "WHERE length(keyword) >= 4 GROUP BY ALL)",
+    "labels_of AS (SELECT DISTINCT label, ord FROM lexicon)",
+]
+LEXICON_HITS = [
+    *TEXT,
+    *LEXICON,
+    "lexicon_found AS (SELECT report_id, label, ord, keyword, kw_ord FROM lowered JOIN lexicon ON contains(low, keyword))",
+    "by_label AS (SELECT report_id, label, ord, count(*) AS hits, list(keyword ORDER BY kw_ord, keyword) AS words FROM lexicon_found GROUP BY ALL)",
+]
+
 _nvd = (
     "SELECT 'CVE-2025-' || (doc_id + 10000) AS cve_id, "
     "CAST(CASE doc_id % 7 WHEN 0 THEN 9.8 WHEN 1 THEN 7.5 WHEN 2 THEN 8.1 WHEN 3 THEN 4.3 WHEN 5 THEN 6.1 END AS DOUBLE) AS score, "
@@ -599,6 +624,35 @@ ORACLES: dict[str, str] = {
         "SELECT report_id, array_to_string(malware, '|') AS malware, array_to_string(products, '|') AS products, "
         "'' AS organizations, '' AS locations FROM entities",
     ),
+    "extract_entities_gazetteer": with_ctes(
+        [*TEXT, *entity_ctes("lowered"), *MASKED],
+        f"SELECT report_id, array_to_string(malware, '|') AS malware, array_to_string(products, '|') AS products, {_places.format('entities')} FROM entities",
+    ),
+    "lexicon_scores": with_ctes(
+        LEXICON_HITS,
+        "SELECT n.report_id, l.label, l.ord, coalesce(b.hits, 0) AS score FROM norm n CROSS JOIN labels_of l LEFT JOIN by_label b USING (report_id, label)",
+    ),
+    "classify_by_lexicon": with_ctes(
+        LEXICON_HITS,
+        f"SELECT n.report_id, coalesce(any_value(b.best), {q(UNKNOWN_THREAT)}) AS threat_type FROM norm n LEFT JOIN (SELECT report_id, "
+        "arg_min(label, (-hits, ord)) AS best FROM by_label GROUP BY report_id) b USING (report_id) GROUP BY n.report_id",
+    ),
+    "lexicon_tier": with_ctes(
+        LEXICON_HITS,
+        "SELECT n.report_id, coalesce(b.label, 'none') AS label, 'keywords: ' || array_to_string(b.words[1:4], ', ') AS reason FROM norm n "
+        "LEFT JOIN (SELECT * FROM by_label QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY ord) = 1) b USING (report_id)",
+    ),
+    "lexicon_ranking": with_ctes(
+        LEXICON_HITS,
+        "SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY hits DESC, ord) - 1 AS pos, label, array_to_string(words, '|') AS matched_keywords, hits FROM by_label",
+    ),
+    "score_sentences_by": with_ctes(
+        [CORPUS, NORM, *sentence_ctes("norm"), *LEXICON, "terms AS (SELECT DISTINCT keyword FROM lexicon)",
+         "term_hits AS (SELECT report_id, sent_idx, count(*) AS hits FROM sentences JOIN terms ON contains(lower(sentence), keyword) GROUP BY ALL)",
+         SCORED[0].replace(count(hits(all_keywords(), "lower(sentence)")), "coalesce((SELECT t.hits FROM term_hits t WHERE t.report_id = sentences.report_id "
+                           "AND t.sent_idx = sentences.sent_idx), 0)"), SCORED[1]],
+        "SELECT report_id, score, sent_idx, hits, CAST(words AS BIGINT) AS words, sentence FROM sentence_scores",
+    ),
     "threat_type_scores": with_ctes(TEXT, _score_rows),
     "classify_threat_type": with_ctes([*TEXT, *type_ctes("lowered")], "SELECT report_id, threat_type FROM typed"),
     "matched_keywords": with_ctes(
@@ -711,6 +765,11 @@ ORACLES: dict[str, str] = {
         f"SELECT report_id, threat_type, severity, CAST({N_ALL} AS BIGINT) AS indicators, CAST(n_techniques AS BIGINT) AS techniques FROM history",
     ),
     "analyze_reports": with_ctes(HISTORY, f"SELECT {_flat} FROM history"),
+    "analyze_with_gazetteer": with_ctes(
+        [*HISTORY, *MASKED],
+        "SELECT report_id, threat_type, severity, word_count, array_to_string(malware, '|') AS malware, array_to_string(products, '|') AS products, "
+        f"{_places.format('history')} FROM history",
+    ),
     "analyze_stream": with_ctes(
         [*HISTORY],
         "SELECT report_id, filename, word_count, threat_type, severity, summary, CAST(" + N_ALL + f" AS BIGINT) AS indicators FROM history h "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I
 from ..functions.lexicons import IOC_LABELS, THREAT_KEYWORDS
-from ..operators import classify, cvss, dashboard, entities, incident_index, indicators, narrative, similarity, text
+from ..operators import classify, cvss, dashboard, entities, incident_index, indicators, lexicon, narrative, similarity, text
 from ..operators.rows import element_rows, struct_rows
 from ..plans.analyze import analyze_reports, spread_input
 from ..sources import files, reports, staging
@@ -249,6 +249,17 @@ def extract_gazetteer(spark, sf):
     return entities.extract_gazetteer(normalised(spark, sf), C.gazetteer(spark, sf))
 
 
+def extract_entities_gazetteer(spark, sf):
+    """All four lists, the last two from a gazetteer."""
+    out = entities.extract_entities(normalised(spark, sf), gazetteer=C.gazetteer(spark, sf))
+    return out.select("report_id", *[joined(f"entities.{x}").alias(x) for x in ("malware", "products", "organizations", "locations")])
+
+
+def analyze_with_gazetteer(spark, sf):
+    out = analyze_reports(C.raw_reports(spark, sf), C.cvss_dimension(spark, sf), gazetteer=C.gazetteer(spark, sf))
+    return out.select("report_id", "threat_type", "severity", "word_count", *[joined(f"entities.{x}").alias(x) for x in ("malware", "products", "organizations", "locations")])
+
+
 def drop_ioc_noise(spark, sf):
     """Indicators taken as entities: most are noise, long CVE ids and hashes are not."""
     found = indicators.iocs_long(with_iocs(spark, sf))
@@ -280,6 +291,26 @@ def severity_keyword_tier(spark, sf):
     return classify.severity_keyword_tier(normalised(spark, sf))
 
 
+def lexicon_scores(spark, sf):
+    return lexicon.lexicon_scores(normalised(spark, sf), C.lexicon(spark, sf))
+
+
+def classify_by_lexicon(spark, sf):
+    return lexicon.classify_by_lexicon(normalised(spark, sf), C.lexicon(spark, sf), "threat_type").select("report_id", "threat_type")
+
+
+def lexicon_tier(spark, sf):
+    return lexicon.lexicon_tier(normalised(spark, sf), C.lexicon(spark, sf), "none")
+
+
+def lexicon_ranking(spark, sf):
+    return lexicon.lexicon_ranking(normalised(spark, sf), C.lexicon(spark, sf)).withColumn("matched_keywords", joined("matched_keywords"))
+
+
+def score_sentences_by(spark, sf):
+    return lexicon.score_sentences_by(normalised(spark, sf), C.lexicon(spark, sf))
+
+
 def severity_cve_signal(spark, sf):
     return classify.severity_cve_signal(with_iocs(spark, sf))
 
@@ -558,9 +589,15 @@ QUERIES: dict[str, Query] = {
     "extract_gazetteer": extract_gazetteer,
     "drop_ioc_noise": drop_ioc_noise,
     "extract_entities": extract_entities,
+    "extract_entities_gazetteer": extract_entities_gazetteer,
     "threat_type_scores": threat_type_scores,
     "classify_threat_type": classify_threat_type,
     "matched_keywords": matched_keywords,
+    "lexicon_scores": lexicon_scores,
+    "classify_by_lexicon": classify_by_lexicon,
+    "lexicon_tier": lexicon_tier,
+    "lexicon_ranking": lexicon_ranking,
+    "score_sentences_by": score_sentences_by,
     "severity_keyword_tier": severity_keyword_tier,
     "severity_cve_signal": severity_cve_signal,
     "severity_ioc_signal": severity_ioc_signal,
@@ -594,6 +631,7 @@ QUERIES: dict[str, Query] = {
     "top_techniques": top_techniques,
     "report_kpis": report_kpis,
     "analyze_reports": analyze,
+    "analyze_with_gazetteer": analyze_with_gazetteer,
     "analyze_stream": stream,
 }
 

@@ -56,20 +56,3 @@ def malware(names: str) -> Column:
 
 def products(names: str) -> Column:
     return bucket(names, PRODUCT_NAMES)
-
-
-def longest_without_overlap(spans: Column) -> Column:
-    """From structs (start, length, ...) keep, longest first and then leftmost, those that overlap
-    none kept before. For small groups: each span is tested against all kept ones."""
-    ranked = F.sort_array(
-        F.transform(spans, lambda s: F.struct((-s["length"]).alias("n"), s["start"].alias("b"), s.alias("s")))
-    )
-    none = F.slice(ranked, 1, 0)
-    kept = F.aggregate(
-        ranked,
-        none,
-        lambda acc, r: F.when(
-            F.exists(acc, lambda k: (k["b"] < r["b"] - r["n"]) & (r["b"] < k["b"] - k["n"])), acc
-        ).otherwise(F.array_append(acc, r)),
-    )
-    return F.transform(kept, lambda r: r["s"])

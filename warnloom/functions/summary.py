@@ -35,10 +35,15 @@ def scored(sentences: Column, found: Column) -> Column:
             ),
         )
 
+    return scored_measures(sentences, bind(found, measured))
+
+
+def scored_measures(sentences: Column, measured: Column) -> Column:
+    """The same from structs (hits, words, i, s) of every sentence."""
     return bind(
         F.size(sentences),
         lambda total: F.transform(
-            F.filter(bind(found, measured), lambda m: m["words"].between(MIN_WORDS, MAX_WORDS)),
+            F.filter(measured, lambda m: m["words"].between(MIN_WORDS, MAX_WORDS)),
             lambda m: F.struct(
                 (m["hits"] / m["words"] * 100 * position_bonus(m["i"], total)).alias("score"),
                 m["i"].alias("sent_idx"),

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+import unicodedata
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.core import WORD, bind, find_all
-from .joins import lookup_join
+from ..functions.core import first_per_key
+from . import automaton as A
 from .rows import element_rows, struct_rows
 
-_TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_]"
-
 
 def name_mentions(df: DataFrame) -> DataFrame:
     """Every built-in name as a whole token, the longest where several start together:
@@ -34,97 +36,119 @@ def extract_products(df: DataFrame) -> DataFrame:
     return element_rows(with_names(df), "report_id", N.products("_names"), "name")
 
 
-def gazetteer_spans(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
-    """Occurrences of gazetteer names, overlaps not yet resolved: report_id, start, length, name, bucket.
-
-    Texts are cut into word tokens and single separators, so a run of tokens joined together is the
-    text as written and can be matched to a name by equality. Places whose token starts no name are
-    dropped first; runs are built for the others only, of the lengths that occur among the names.
-    """
-    names = (
-        gaz.select(F.lower("name").alias("key"), "bucket")
-        .distinct()
-        .withColumn("_parts", find_all(F.col("key"), _TOKEN))
-        .select("key", "bucket", F.get("_parts", F.lit(0)).alias("first"), F.size("_parts").alias("length"))
-    )
-    lengths = names.agg(F.sort_array(F.collect_set("length"))).first()[0] or [1]
-    tokens = df.select("report_id", find_all(F.col("text"), _TOKEN).alias("tokens"))
-    places = bind(
-        F.col("tokens"),
-        lambda ts: F.transform(
-            F.filter(
-                F.transform(ts, lambda t, i: F.struct(i.alias("start"), F.lower(t).alias("first"))),
-                lambda p: F.trim(p["first"]) != "",
-            ),
-            lambda p: F.struct(
-                p["start"].alias("start"),
-                p["first"].alias("first"),
-                F.slice(ts, p["start"] + 1, lengths[-1]).alias("ahead"),
-            ),
-        ),
-    )
-    spread = {"spread_by": ["report_id", "start"], **join_options}
-    begun = lookup_join(
-        struct_rows(tokens, "report_id", places), names.select("first").distinct(), ["first"],
-        how="left_semi", **spread,
-    )
-    runs = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.size("ahead")),
-        lambda n: F.struct(n.alias("length"), F.array_join(F.slice("ahead", 1, n), "").alias("name")),
-    )
-    built = struct_rows(begun, ["report_id", "start"], runs).withColumn("key", F.lower("name"))
-    spans = lookup_join(built, names.select("key", "bucket"), ["key"], how="inner", **spread)
-    return spans.select("report_id", "start", "length", "name", "bucket")
-
-
-def resolve_overlaps(spans: DataFrame) -> DataFrame:
-    """Longest name wins, then the leftmost. Only spans that touch each other meet in one group:
-    a new group starts wherever a span begins after all earlier ones of its report have ended."""
-    by_start = Window.partitionBy("report_id").orderBy("start", "length", "bucket")
-    earlier = by_start.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        spans.withColumn("reach", F.max(F.col("start") + F.col("length")).over(earlier))
-        .withColumn(
-            "cluster",
-            F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(by_start),
-        )
-        .groupBy("report_id", "cluster")
-        .agg(F.collect_list(F.struct("start", "length", "name", "bucket")).alias("spans"))
-        .select("report_id", F.inline(N.longest_without_overlap(F.col("spans"))))
-    )
-
-
-def extract_gazetteer(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
+def _word_characters() -> np.ndarray:
+    """By code point, whether a character belongs to words."""
+    return np.fromiter((i == 95 or unicodedata.category(chr(i))[0] in "LN" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+_WORDS: list[np.ndarray] = []
+
+
+def _lowered(text: str) -> tuple[str, np.ndarray | None]:
+    """The text in lower case, and where each of its characters stood before, if lowering changed the length."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    each = [c.lower() for c in text]
+    return "".join(each), np.repeat(np.arange(len(text)), [len(c) for c in each])
+
+
+def spans_in(text: str | None, names: A.Phrases, buckets: list[list[str]]) -> list[dict]:
+    """Occurrences of names as whole tokens, words or single other characters: start and length in tokens, name as written, bucket."""
+    if not text:
+        return []
+    low, origin = _lowered(text)
+    found = [(end - len(names.phrases[i]) + 1, end + 1, i) for end, i in names.matches(low)]
+    if not found:
+        return []
+    if not _WORDS:
+        _WORDS.append(_word_characters())
+    if origin is not None:
+        edge = np.concatenate([np.diff(origin, prepend=-1) != 0, [True]])  # no name begins or ends inside what was one character
+        origin = np.append(origin, len(text))
+        found = [(int(origin[a]), int(origin[b]), i) for a, b, i in found if edge[a] and edge[b]]
+    word = _WORDS[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    begins = np.concatenate([[True], ~(word[1:] & word[:-1]), [True]])
+    token = np.cumsum(begins) - 1
+    return [
+        {"start": int(token[a]), "length": int(token[b] - token[a]), "name": text[a:b], "bucket": bucket}
+        for a, b, i in found
+        if begins[a] and begins[b]
+        for bucket in buckets[i]
+    ]
+
+
+def without_overlap(spans: list[dict]) -> list[dict]:
+    """The longest first, then the leftmost, of those that overlap none kept before; in text order."""
+    taken: set[int] = set()
+    kept = []
+    for s in sorted(spans, key=lambda s: (-s["length"], s["start"], s["name"], s["bucket"])):
+        places = range(s["start"], s["start"] + s["length"])
+        if taken.isdisjoint(places):
+            taken.update(places)
+            kept.append(s)
+    return sorted(kept, key=lambda s: s["start"])
+
+
+SPANS = "array<struct<start:int,length:int,name:string,bucket:string>>"
+
+
+def with_spans(df: DataFrame, gaz: DataFrame, text: Column | str = "text", overlaps: bool = False, most: int = A.MOST_PHRASES) -> DataFrame:
+    """Add `gazetteer_spans`, the names of `gaz` (name, bucket) that occur in the row's text, found in the row by an
+    automaton; overlapping ones too, or resolved. Names that begin with a space are never found. A list of more than `most` names is
+    taken in parts, one pass for each."""
+    names = gaz.select(F.lower("name").alias("key"), "bucket").filter("key <> '' AND NOT startswith(key, ' ')").distinct()
+    listed = A.parts(names, ["key"], most)
+    df = df.withColumn("_text", F.col(text) if isinstance(text, str) else text)
+    for k, rows in enumerate(listed):
+        meanings: dict[str, list[str]] = {}
+        for r in rows:
+            meanings.setdefault(r["key"], []).append(r["bucket"])
+        keys, buckets = A.Phrases(list(meanings)), list(meanings.values())
+
+        def find(texts: list, keys=keys, buckets=buckets) -> list:
+            found = [spans_in(x, keys, buckets) for x in texts]
+            return found if overlaps or len(listed) > 1 else [without_overlap(x) for x in found]
+
+        df = A.with_computed(df, f"_spans_{k}", SPANS, F.col("_text"), find)
+    parts = [f"_spans_{k}" for k in range(len(listed))]
+    df = df.withColumn("gazetteer_spans", F.concat(*parts)).drop("_text", *parts)
+    if overlaps or len(listed) == 1:
+        return df
+    return A.with_computed(df, "gazetteer_spans", SPANS, F.col("gazetteer_spans"), lambda rows: [without_overlap(x) for x in rows])
+
+
+def gazetteer_spans(df: DataFrame, gaz: DataFrame, overlaps: bool = True, most: int = A.MOST_PHRASES) -> DataFrame:
+    """Occurrences of gazetteer names: report_id, start, length, name, bucket. Without `overlaps` the longest name wins, then the leftmost."""
+    return struct_rows(with_spans(df, gaz, overlaps=overlaps, most=most), "report_id", "gazetteer_spans")
+
+
+def names_of(bucket: str) -> Column:
+    """The names of one bucket among the row's spans, once each without regard to case, in text order."""
+    named = F.filter("gazetteer_spans", lambda s: (s["bucket"] == bucket) & ~N.is_noise(s["name"]))
+    return first_per_key(F.transform(named, lambda s: s["name"]), F.lower)
+
+
+def extract_gazetteer(df: DataFrame, gaz: DataFrame, most: int = A.MOST_PHRASES) -> DataFrame:
     """Names of a caller's gazetteer (name, bucket): report_id, bucket, pos, name, de-duplicated
-    without regard to case, in text order."""
-    found = resolve_overlaps(gazetteer_spans(df, gaz, **join_options)).filter(
-        ~N.is_noise(F.col("name"))
-    )
-    firsts = found.groupBy("report_id", "bucket", F.lower("name").alias("key")).agg(
-        F.min(F.struct("start", "name")).alias("first")
-    )
-    order = Window.partitionBy("report_id", "bucket").orderBy("first.start")
-    return firsts.select(
-        "report_id", "bucket", (F.row_number().over(order) - 1).alias("pos"), "first.name"
-    )
-
-
-def gazetteer_lists(df: DataFrame, gaz: DataFrame, **join_options) -> DataFrame:
-    """report_id, organizations, locations: the names of each report that has any. Where a malware or
-    product name overlaps a name of the gazetteer, only the former is found."""
-    masked = df.select("report_id", N.without_names(F.col("text")).alias("text"))
-    found = extract_gazetteer(masked, gaz.filter(F.col("bucket").isin("organizations", "locations")), **join_options)
-    pick = lambda bucket: F.sort_array(F.collect_list(F.when(F.col("bucket") == bucket, F.struct("pos", "name"))))
-    return found.groupBy("report_id").agg(*[F.transform(pick(b), lambda x: x["name"]).alias(b) for b in ("organizations", "locations")])
-
-
-def with_gazetteer(df: DataFrame, lists: DataFrame) -> DataFrame:
-    """`entities` with the organisations and locations of `gazetteer_lists`. Joins by report, which moves rows."""
+    without regard to case, in text order. A report's names are found and sorted out in its row."""
+    buckets = [r.bucket for r in gaz.select("bucket").filter("bucket IS NOT NULL").distinct().orderBy("bucket").collect()]
+    if not buckets:
+        return df.select("report_id", F.lit("").alias("bucket"), F.lit(0).alias("pos"), F.lit("").alias("name")).limit(0)
+    found = with_spans(df, gaz, most=most)
+    lists = F.array(*[F.struct(F.lit(b).alias("bucket"), names_of(b).alias("names")) for b in buckets])
+    return element_rows(struct_rows(found, "report_id", lists), ["report_id", "bucket"], "names", "name")
+
+
+def with_gazetteer(df: DataFrame, gaz: DataFrame, most: int = A.MOST_PHRASES) -> DataFrame:
+    """`entities` with the organisations and locations of a gazetteer, in the row. Where a malware or product
+    name overlaps a name of the gazetteer, only the former is found."""
+    wanted = gaz.filter(F.col("bucket").isin("organizations", "locations"))
+    found = with_spans(df, wanted, N.without_names(F.col("text")), most=most)
     filled = F.col("entities")
     for bucket in ("organizations", "locations"):
-        filled = filled.withField(bucket, F.coalesce(F.col(f"_{bucket}"), F.array().cast("array<string>")))
-    named = lists.select("report_id", F.col("organizations").alias("_organizations"), F.col("locations").alias("_locations"))
-    return df.join(named, "report_id", "left").withColumn("entities", filled).drop("_organizations", "_locations")
+        filled = filled.withField(bucket, names_of(bucket))
+    return found.withColumn("entities", filled).drop("gazetteer_spans")
 
 
 def drop_ioc_noise(df: DataFrame, entity: str = "entity") -> DataFrame:
@@ -132,15 +156,15 @@ def drop_ioc_noise(df: DataFrame, entity: str = "entity") -> DataFrame:
     return df.filter(~N.is_noise(F.col(entity)))
 
 
-def extract_entities(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+def extract_entities(df: DataFrame, max_chars: int | None = None, gazetteer: DataFrame | None = None) -> DataFrame:
     """Add `entities`: malware, products, organizations, locations.
 
-    The last two need a gazetteer (see `with_gazetteer`) and are empty here. The
-    whole text is scanned unless `max_chars` sets a bound.
+    The last two come from a gazetteer (name, bucket) and are empty without one. The
+    whole text is scanned unless `max_chars` sets a bound for the first two.
     """
     text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
     none = F.array().cast("array<string>")
-    return (
+    out = (
         df.withColumn("_names", N.drop_ioc_noise(N.names_in(text)))
         .withColumn(
             "entities",
@@ -153,5 +177,4 @@ def extract_entities(df: DataFrame, max_chars: int | None = None) -> DataFrame:
         )
         .drop("_names")
     )
-
-
+    return out if gazetteer is None else with_gazetteer(out, gazetteer)

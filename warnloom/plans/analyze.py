@@ -36,11 +36,11 @@ def analyze_reports(
     `keep_text` keeps the normalised text beside the excerpt: the search for similar reports reads it.
     With `min_chars`, reports of fewer characters are left out, as on a stream;
     `text.split_min_length` gives the rejected ones. A `gazetteer` (name, bucket) fills organisations and
-    locations; the names are joined to the reports by id, which is a shuffle.
+    locations, found in the row by an automaton.
     """
-    out = normal = text.normalise(df if min_chars is None else text.filter_min_length(df, min_chars))
+    out = text.normalise(df if min_chars is None else text.filter_min_length(df, min_chars))
     out = classify.with_keywords(indicators.extract_iocs(out))
-    out = narrative.with_sentences(entities.extract_entities(out))
+    out = narrative.with_sentences(entities.extract_entities(out, gazetteer=gazetteer))
     out = classify.classify_severity(classify.classify_threat_type(out))
     out = classify.recommend_actions(classify.map_techniques(out))
     out = narrative.extract_timeline(narrative.summarize(out), yearless=yearless_dates)
@@ -55,8 +55,6 @@ def analyze_reports(
     else:
         # Last, when the text itself is no longer in the row.
         out = C.enrich_cves(out, cvss)
-    if gazetteer is not None:
-        out = entities.with_gazetteer(out, entities.gazetteer_lists(normal, gazetteer))
     kept = ["text"] if keep_text else []
     # The metric also keeps the optimizer from moving a caller's filter on a result column below the
     # analysis, where the whole rule behind that column would be computed a second time.
