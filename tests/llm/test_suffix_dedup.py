@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from warnloom.llm import suffix_dedup as S
@@ -71,17 +72,30 @@ def test_passages_copies_nulls_and_edges(spark):
     assert report == {(i, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in found}
 
 
-@pytest.mark.parametrize("length", [3, 8, 20])
-def test_many_chance_repeats(spark, monkeypatch, length):
+@pytest.mark.parametrize("length, frequent", [(3, 3), (8, 20_000), (20, 5)])
+def test_many_chance_repeats(spark, monkeypatch, length, frequent):
     monkeypatch.setattr(S, "SHARD_CODES", 50)
     monkeypatch.setattr(S, "SHARD_SEGMENTS", 40)
+    monkeypatch.setattr(S, "FREQUENT", frequent)
+    monkeypatch.setattr(S, "COLLECTION", 7)
     rng = random.Random(length)
     check(spark, [(rng.randint(1, 25), words(rng, rng.randint(0, 30))) for _ in range(40)], length)
 
 
+def test_segments_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(1)
+    texts = [words(rng, n).encode() for n in (0, 90, 3, 400, 0, 12, 1)] + [b"x" * 700]
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    read = lambda: {(a + k, c) for a, n, c, _ in zip(*(x.tolist() for x in S.segments(data, ends, 50, 24))) for k in range(n)}
+    whole = read()
+    assert {a for a, _ in whole} == {e - len(t) + k for t, e in zip(texts, ends.tolist()) for k in range(len(t) - 49)}
+    monkeypatch.setattr(S, "SLICE", 33)
+    assert read() == whole
+
+
 def test_small_blocks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_BYTES", 500)
-    monkeypatch.setattr(S, "SLICE", 333)
     rng = random.Random(9)
     long = words(rng, 3000)
     check(spark, [(1, long[200:900]), (2, long), (3, long[5000:]), (4, long[:100] + long[400:700])])

@@ -5,11 +5,14 @@ least hash in the window of a string of about half as many bytes. Equal windows
 by their anchor, and no two equal windows end up apart. Two exchanges do it:
 
 1. Blocks of documents send the anchors' hashes, once each, and learn which of them occur in another document. This
-   only leaves out segments that can't repeat anything; a chance equality costs some work, no more.
-2. Of the others a block sends each different segment once, with its first document. A shard builds the Burrows-Wheeler
-   transform and the common prefixes of all its segments column by column: every round inserts one symbol of each
-   string, from its end, as one sequential pass over the arrays so far. Where `length` bytes are common to
-   neighbours, the least document of the run is the first to hold the window.
+   only leaves out segments that can't repeat anything; a chance equality costs some work, no more. They also learn which
+   anchors are very frequent: windows of those go by a hash of their own, each a segment, as there is no end to the
+   different surroundings of a passage that a third of all documents hold.
+2. Of the others a block sends each different segment once, with its first document. A shard takes the segments of its
+   anchors in collections, and builds the Burrows-Wheeler transform and the common prefixes of each column by column: every
+   round inserts one symbol of each string, from its end, as one sequential pass over the arrays so far. Where
+   `length` bytes are common to neighbours, the least document of the run is the first to hold the window. A segment that
+   is alone with its anchor shares no window with another, and needs no place in a collection.
 
 A block then marks the windows that begin in a document before. A passage that a third of all documents hold is sent
 once for each block, not for each document; a shard holds about SHARD_SEGMENTS segments. Messages are sorted by hash
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -38,6 +41,10 @@ SEGMENT_WINDOWS = 64
 CODE_BITS = 48
 SHARD_CODES = 4_000_000
 SHARD_SEGMENTS = 200_000
+# Segments of an anchor beyond which its windows go one by one.
+FREQUENT = 20_000
+# Strings of a collection, few enough for its arrays to stay in a processor's cache.
+COLLECTION = 5_000
 LAST = (1 << 63) - 1
 
 
@@ -233,22 +240,31 @@ class Block:
         self.start, self.windows, code, self.doc = segments(self.data, self.ends, length, anchor)
         self.codes, self.code = np.unique(code, return_inverse=True)
 
-    def repeated_here(self) -> np.ndarray:
-        """For every code whether two texts of the block have it."""
+    def counts(self) -> np.ndarray:
+        """How many segments have each code; 1 where all are of one text."""
         low = np.full(len(self.codes), len(self.sizes))
         np.minimum.at(low, self.code, self.doc)
-        out = np.zeros(len(self.codes), bool)
-        out[self.code[self.doc != low[self.code]]] = True
-        return out
-
-    def keep(self, shared: np.ndarray) -> None:
-        """Go on with the segments of some codes, and number their different strings, in order of the codes."""
-        some = np.flatnonzero(shared[self.code])
-        some = some[np.argsort(self.code[some], kind="stable")]
-        self.start, self.windows, self.doc, code = self.start[some], self.windows[some], self.doc[some], self.codes[self.code[some]]
+        several = np.zeros(len(self.codes), bool)
+        several[self.code[self.doc != low[self.code]]] = True
+        return np.where(several, np.bincount(self.code, minlength=len(self.codes)), 1)
+
+    def keep(self, kinds: np.ndarray) -> None:
+        """Go on with the segments of some codes (kind 1; of kind 2: window by window), and number their different strings,
+        in order of the codes."""
+        kind = kinds[self.code]
+        start, windows, doc, code = (x[kind == 1] for x in (self.start, self.windows, self.doc, self.codes[self.code]))
+        if (kind == 2).any():
+            size, many = self.windows[kind == 2], np.flatnonzero(kind == 2)
+            each = np.repeat(self.start[many], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            own = np.concatenate([mix(anchor_hashes(self.data[np.add.outer(each[s : s + SLICE // 64], np.arange(self.length))].reshape(-1), self.length)[:: self.length]) for s in range(0, len(each), SLICE // 64)])
+            start, windows, doc, code = (
+                np.concatenate(x) for x in ((start, each), (windows, np.ones(len(each), np.int64)), (doc, np.repeat(self.doc[many], size)), (code, own >> np.uint64(64 - CODE_BITS)))
+            )
+        order = np.argsort(code, kind="stable")
+        self.start, self.windows, self.doc, code = start[order], windows[order], doc[order], code[order]
         whole, number = self.data.tobytes(), {}
         tail = self.length - 1
-        self.number = np.fromiter((number.setdefault(whole[a : a + n + tail], len(number)) for a, n in zip(self.start.tolist(), self.windows.tolist())), np.int64, len(some))
+        self.number = np.fromiter((number.setdefault(whole[a : a + n + tail], len(number)) for a, n in zip(self.start.tolist(), self.windows.tolist())), np.int64, len(code))
         self.strings = list(number)
         first = np.unique(self.number, return_index=True)[1]
         self.string_codes, self.string_windows = code[first], self.windows[first]
@@ -287,47 +303,68 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def shared_codes(blocks: DataFrame, length: int, anchor: int, n_bytes: int) -> DataFrame:
-    """block, shared (by shard: a bit for each code of the block's, in order, whether another text has it)."""
+    """block, shared (by shard, for each code of the block's in order: 1 if another text has it, 2 if very many do, else 0)."""
     shards = max(1, -(-2 * n_bytes // (length - anchor + 2) // SHARD_CODES))
-    names = ["shard", "block", "n", "codes", "repeated"]
+    names = ["shard", "block", "n", "codes", "counts"]
+    schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = Block(row, length, anchor)
-            twice = block.repeated_here()
+            counts = block.counts()
             for shard, at in ranges(block.codes, shards):
-                values = shard, block.block, at.stop - at.start, deltas(block.codes[at]), np.packbits(twice[at]).tobytes()
+                values = shard, block.block, at.stop - at.start, deltas(block.codes[at]), planes(counts[at].astype(np.uint32))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, values))], schema)
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         codes = [undeltas(r["codes"], r["n"]) for r in rows]
-        twice = [np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=r["n"]).astype(bool) for r in rows]
-        every = np.concatenate([*codes, *[c[t] for c, t in zip(codes, twice)]])  # repeated ones once more
-        every.sort()
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        told = []
-        for c in codes:
-            at = np.minimum(np.searchsorted(shared, c), max(len(shared) - 1, 0))
-            told.append(np.packbits(shared[at] == c if len(shared) else np.zeros(len(c), bool)).tobytes())
-        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "shard": group.column("shard"), "n": group.column("n"), "bits": pa.array(told, pa.binary())})
-
-    schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("repeated", pa.binary())])
-    asked = blocks.mapInArrow(request, "shard bigint, block bigint, n bigint, codes binary, repeated binary")
-    told = asked.groupBy("shard").applyInArrow(answer, "block bigint, shard bigint, n bigint, bits binary")
-    return stage(told, "shared-codes").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "n", "bits"))).alias("shared"))
+        every = np.concatenate(codes)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+        total = np.add.reduceat(np.concatenate([unplanes(r["counts"], r["n"], np.uint32) for r in rows])[order].astype(np.int64), first)
+        every, kinds = every[first], (total >= 2).astype(np.uint8) + (total > FREQUENT)
+        told = [planes(kinds[np.searchsorted(every, c)]) for c in codes]
+        shared = [int(np.count_nonzero(unplanes(t, len(c), np.uint8))) for t, c in zip(told, codes)]
+        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "shard": group.column("shard"), "n": group.column("n"), "n_shared": pa.array(shared, pa.int64()), "kinds": pa.array(told, pa.binary())})
+
+    asked = blocks.mapInArrow(request, "shard bigint, block bigint, n bigint, codes binary, counts binary")
+    told = asked.groupBy("shard").applyInArrow(answer, "block bigint, shard bigint, n bigint, n_shared bigint, kinds binary")
+    return stage(told, "shared-codes").groupBy("block").agg(F.sum("n_shared").alias("n_shared"), F.sort_array(F.collect_list(F.struct("shard", "n", "kinds"))).alias("shared"))
 
 
 def with_shared(row: dict, length: int, anchor: int) -> Block:
     block = Block(row, length, anchor)
-    bits = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]).astype(bool) for x in row["shared"] or []]
-    block.keep(np.concatenate([np.zeros(0, bool), *bits]))
+    block.keep(np.concatenate([np.zeros(0, np.uint8), *[unplanes(x["kinds"], x["n"], np.uint8) for x in row["shared"] or []]]))
     return block
 
 
+def first_windows(strings: list[bytes], codes: np.ndarray, owner: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of the strings the least owner of a string that holds it; with where each string's begin, and their number.
+    Strings of different codes hold no window in common."""
+    windows = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
+    base = np.cumsum(windows) - windows
+    first = np.repeat(owner, windows)
+    order = np.argsort(codes, kind="stable")
+    begins = np.flatnonzero(np.diff(codes[order], prepend=~codes[order][:1]))
+    sizes = np.diff(np.append(begins, len(order)))
+    part = np.flatnonzero(sizes > 1)
+    if len(part):
+        # Codes with several strings, cut into collections at a code's edge.
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes[part]) // most, prepend=-1))
+        for some in np.split(part, cut[1:]):
+            held = order[np.concatenate([np.arange(begins[k], begins[k] + sizes[k]) for k in some])]
+            found = Collection([strings[i] for i in held.tolist()], length).first_of(owner[held], length)
+            size = windows[held]
+            first[np.repeat(base[held] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = found
+    return first, base, windows
+
+
 def first_holders(blocks: DataFrame, length: int, anchor: int, shards: int) -> DataFrame:
     """block, firsts (by shard: the least id for every window of the block's strings, in order)."""
-    names = ["shard", "block", "n", "sizes", "owners", "bytes", "strings"]
+    names = ["shard", "block", "n", "codes", "sizes", "owners", "bytes", "strings"]
+    schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("sizes", pa.binary()), ("owners", pa.binary()), ("bytes", pa.int64()), ("strings", pa.binary())])
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -335,22 +372,21 @@ def first_holders(blocks: DataFrame, length: int, anchor: int, shards: int) -> D
             for shard, at in ranges(block.string_codes, shards):
                 strings = b"".join(block.strings[at])
                 sizes = planes((block.string_windows[at] + length - 1).astype(np.uint8))
-                values = shard, block.block, at.stop - at.start, sizes, planes(block.owner[at]), len(strings), pack(np.frombuffer(strings, np.uint8))
+                values = shard, block.block, at.stop - at.start, deltas(block.string_codes[at]), sizes, planes(block.owner[at]), len(strings), pack(np.frombuffer(strings, np.uint8))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, values))], schema)
 
     def answer(group: pa.Table) -> pa.Table:
-        rows, number, numbers, owner = group.to_pylist(), {}, [], np.zeros(0, np.int64)
+        rows, number, numbers = group.to_pylist(), {}, []
+        owner, codes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for r in rows:
             sizes, data = unplanes(r["sizes"], r["n"], np.uint8).astype(np.int64), unpack(r["strings"], r["bytes"], np.uint8).tobytes()
             ends = np.cumsum(sizes)
-            numbers.append(np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip((ends - sizes).tolist(), ends.tolist())), np.int64, r["n"]))
-            owner = np.append(owner, np.full(len(number) - len(owner), LAST))
-            np.minimum.at(owner, numbers[-1], unplanes(r["owners"], r["n"], np.int64))
-        strings = list(number)
-        collection = Collection(strings, length)
-        first = collection.first_of(owner, length)
-        windows = collection.sizes - length + 1
-        base = np.cumsum(windows) - windows
+            at = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip((ends - sizes).tolist(), ends.tolist())), np.int64, r["n"])
+            new = np.flatnonzero(at >= len(owner))  # each once, in order: a row's strings differ
+            owner, codes = np.append(owner, np.full(len(new), LAST)), np.append(codes, undeltas(r["codes"], r["n"])[new])
+            np.minimum.at(owner, at, unplanes(r["owners"], r["n"], np.int64))
+            numbers.append(at)
+        first, base, windows = first_windows(list(number), codes, owner, length, COLLECTION)
         told, counts = [], []
         for at in numbers:
             size = windows[at]
@@ -359,8 +395,7 @@ def first_holders(blocks: DataFrame, length: int, anchor: int, shards: int) -> D
             counts.append(int(size.sum()))
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "n": pa.array(counts, pa.int64()), "first": pa.array(told, pa.binary())})
 
-    schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("sizes", pa.binary()), ("owners", pa.binary()), ("bytes", pa.int64()), ("strings", pa.binary())])
-    asked = blocks.mapInArrow(request, "shard bigint, block bigint, n bigint, sizes binary, owners binary, bytes bigint, strings binary")
+    asked = blocks.mapInArrow(request, "shard bigint, block bigint, n bigint, codes binary, sizes binary, owners binary, bytes bigint, strings binary")
     told = asked.groupBy("shard").applyInArrow(answer, "block bigint, shard bigint, n bigint, first binary")
     return stage(told, "first-holders").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "n", "first"))).alias("firsts"))
 
@@ -379,8 +414,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     n_bytes = blocks.agg(F.sum(add(F.col("sizes")))).first()[0] or 0
     shared = shared_codes(blocks, length, anchor, n_bytes)
     told = stage(shared, "block-codes")
-    ones = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, s: a + bits_set(s["bits"]))
-    codes = told.agg(F.sum(ones(F.col("shared")))).first()[0] or 0
+    codes = told.agg(F.sum("n_shared")).first()[0] or 0
+    told = told.drop("n_shared")
     known = blocks.join(told, "block", "left")
     firsts = first_holders(known, length, anchor, max(1, -(-codes // SHARD_SEGMENTS)))
 
@@ -396,11 +431,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return out.withColumnRenamed("_id", id_col)
 
 
-def bits_set(data: Column) -> Column:
-    """How many bits of a binary value are set, by its hex digits."""
-    return sum(F.length(F.translate(F.hex(data), "".join(d for d in "0123456789ABCDEF" if int(d, 16).bit_count() != k), "")) * k for k in range(1, 5)).cast("long")
-
-
 def dedupe_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of `docs`."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
