@@ -6,6 +6,9 @@ one gets one of nine short endings. The CVSS dimension is derived from the same
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,23 @@ def cvss_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_cvss_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The same as files: each one object over many lines; the broken texts are files of their own."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "{"
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [lead + value[1:-1]]})
+                lead = ","
+        yield pa.RecordBatch.from_pydict({"value": ["}" if lead == "," else "{}"]})
+
+    texts = cvss_json(spark, sf_dir)
+    whole = F.startswith("value", F.lit("{"))
+    texts.filter(whole).mapInArrow(lines, "value STRING").write.text(f"{path}/records")
+    texts.filter(~whole).write.text(f"{path}/broken")
+
+
 def cvss_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_cvss_json(cvss_json(spark, sf_dir))
 

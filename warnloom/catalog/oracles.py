@@ -776,3 +776,12 @@ ORACLES: dict[str, str] = {
         f"WHERE (SELECT length({trim('c.text')}) FROM corpus c WHERE c.report_id = h.report_id) >= 50",
     ),
 }
+ORACLES |= {
+    "parse_cvss_json": ORACLES["load_cvss_dimension"],
+    "read_text_files": "SELECT 'txt' AS kind, text FROM documents",
+    "write_version": ORACLES["delete_reports"],
+    "rolled_kpis": ORACLES["dashboard_kpis"],
+    "rolled_severity": ORACLES["severity_distribution"],
+    "rolled_threat_types": ORACLES["threat_type_distribution"],
+    "rolled_techniques": ORACLES["top_techniques"],
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I
 from ..functions.lexicons import IOC_LABELS, THREAT_KEYWORDS
-from ..operators import classify, cvss, dashboard, entities, incident_index, indicators, lexicon, narrative, similarity, text
+from ..operators import classify, cvss, dashboard, entities, incident_index, indicators, lexicon, narrative, rollup, similarity, text
 from ..operators.rows import element_rows, struct_rows
 from ..plans.analyze import analyze_reports, spread_input
 from ..sources import files, reports, staging
@@ -101,6 +101,28 @@ def save_reports(spark, sf):
     return saved.select("report_id", "filename", "threat_type", "severity", "summary")
 
 
+def load_cvss_dimension(spark, sf):
+    """The records as files of JSON objects, read in parallel."""
+    path = staging.new_path(spark, "cvss")
+    C.write_cvss_files(spark, sf, path)
+    return files.load_cvss_dimension(spark, path)
+
+
+def read_text_files(spark, sf):
+    """Every document as a .txt file of its own, read by the reader; a text file ends in a line end."""
+    path = staging.new_path(spark, "incoming")
+    C.table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    read = files.read_text_reports(spark, path)
+    return read.select(files.file_kind(F.col("filename")).alias("kind"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+def write_version(spark, sf):
+    """Save the history, delete reports, write the version that is left and read it back."""
+    saved = reports.save_reports(history(spark, sf), staging.new_path(spark, "reports"))
+    left = reports.write_version(reports.delete_reports(saved, flagged_ids(spark, sf)), staging.new_path(spark, "version"))
+    return left.select("report_id", "filename", "threat_type", "severity", "created_at")
+
+
 def list_reports(spark, sf):
     return reports.list_reports(history(spark, sf))
 
@@ -506,6 +528,30 @@ def top_techniques(spark, sf):
     return dashboard.top_techniques(history(spark, sf))
 
 
+def rolled(spark, sf):
+    """Sums of the history in three batches, one of which runs twice."""
+    reports_, path = staging.stage(history(spark, sf), "history"), staging.new_path(spark, "sums")
+    for batch in (0, 1, 2, 1):
+        rollup.write_sums(reports_.filter(F.pmod("report_id", F.lit(3)) == batch), path, batch)
+    return rollup.read_sums(spark, path)
+
+
+def rolled_kpis(spark, sf):
+    return rollup.dashboard_kpis(rolled(spark, sf))
+
+
+def rolled_severity(spark, sf):
+    return rollup.severity_distribution(rolled(spark, sf))
+
+
+def rolled_threat_types(spark, sf):
+    return rollup.threat_type_distribution(rolled(spark, sf))
+
+
+def rolled_techniques(spark, sf):
+    return rollup.top_techniques(rolled(spark, sf))
+
+
 def report_kpis(spark, sf):
     return dashboard.report_kpis(history(spark, sf))
 
@@ -558,7 +604,10 @@ QUERIES: dict[str, Query] = {
     "read_text_reports": read_text_reports,
     "split_supported": split_supported,
     "filter_min_length": filter_min_length,
-    "load_cvss_dimension": C.cvss_dimension,
+    "load_cvss_dimension": load_cvss_dimension,
+    "parse_cvss_json": C.cvss_dimension,
+    "read_text_files": read_text_files,
+    "write_version": write_version,
     "parse_nvd_metrics": parse_nvd_metrics,
     "save_reports": save_reports,
     "list_reports": list_reports,
@@ -629,6 +678,10 @@ QUERIES: dict[str, Query] = {
     "threat_type_distribution": threat_type_distribution,
     "dashboard_kpis": dashboard_kpis,
     "top_techniques": top_techniques,
+    "rolled_kpis": rolled_kpis,
+    "rolled_severity": rolled_severity,
+    "rolled_threat_types": rolled_threat_types,
+    "rolled_techniques": rolled_techniques,
     "report_kpis": report_kpis,
     "analyze_reports": analyze,
     "analyze_with_gazetteer": analyze_with_gazetteer,

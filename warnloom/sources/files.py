@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cvss import RECORD
 from ..functions.text import decode_bytes
+from ..operators.joins import lookup_join
+from .json_object import object_entries
+from .staging import stage
 
 _TEXT_FILES = "*.[tT][xX][tT]"
 _BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -86,11 +89,17 @@ def parse_cvss_json(df: DataFrame, json: str = "value") -> DataFrame:
 
 
 def load_cvss_dimension(spark: SparkSession, path: str) -> DataFrame:
-    """The CVSS dimension from a JSON file (or files); empty when there is none."""
+    """The CVSS dimension from a JSON file of one object (or several files); empty when there is none. An object is
+    cut into its entries in parallel, however large, and written on one line or many. A file that is not
+    one JSON object gives no rows."""
     try:
-        text = spark.read.text(path, wholetext=True)
+        entries = object_entries(spark, path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
             raise
-        text = spark.createDataFrame([], "value STRING")
-    return parse_cvss_json(text)
+        entries = spark.createDataFrame([], "file STRING, body STRING")
+    parsed = entries.select("file", F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), f"map<string, {RECORD}>").alias("m"))
+    parsed = stage(parsed, "cvss-entries")
+    broken = parsed.filter("m IS NULL").select("file").distinct()
+    rows = lookup_join(parsed, broken, ["file"], "left_anti", spread_by=["file"]).select(F.explode_outer("m").alias("cve_id", "r")).filter("cve_id IS NOT NULL")
+    return rows.select("cve_id", "r.score", "r.severity", "r.vector", "r.version")
