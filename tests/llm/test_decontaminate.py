@@ -60,6 +60,32 @@ def test_leaks_equal_brute_force(spark):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d for d, *_ in docs if d not in leaky), key=str)
 
 
+def test_runs_of_one_word_lose_nothing(spark):
+    """Similarity of just 0.8, and all that differs is one repeated shingle: fingerprints are far apart there."""
+    rng = random.Random(3)
+    items, docs = [], []
+    for i in range(60):
+        same = [f"v{i}x{rng.randrange(10**6)}" for _ in range(100)]
+        items.append((i, " ".join(same + ["uu"] * 12)))
+        docs.append((i, " ".join(same + [f"t{i}"] * 12), i))
+    assert all(abs(best(d[1], x[1]) - 0.8) < 1e-9 for d, x in zip(docs, items))
+    got = find_leaks(spark.createDataFrame(docs, "doc_id BIGINT, text STRING, w INT"), spark.createDataFrame(items, "item_id BIGINT, text STRING")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(60)}
+    assert max(r.hamming for r in got) > 19
+
+
+def test_long_texts_ties_and_caller_columns(spark):
+    rng = random.Random(4)
+    item = " ".join(rng.choice(WORDS) for _ in range(30))
+    filler = " ".join(rng.choice(WORDS) for _ in range(30_000))
+    docs = [(1, f"{filler} {item} {filler} {item}", "a", "b"), (2, filler, "c", "d")]
+    frame = spark.createDataFrame(docs, "doc_id BIGINT, text STRING, _key STRING, row STRING")
+    bench = spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")
+    (found,) = find_leaks(frame, bench).collect()
+    assert (found.doc_id, found.start, found.similarity) == (1, 30_000, 1.0)  # of equal windows the first
+    assert [tuple(r) for r in drop_leaks(frame, bench).collect()] == [docs[1]]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id BIGINT, text STRING")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id BIGINT, text STRING")

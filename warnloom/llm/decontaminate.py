@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A text is cut into lower-case words of letters and digits, and compared with an item in windows of as many words as the
-item has. Windows are laid where a 5-word shingle of the text is one of the item's, aligned on it: a window
-that shares none can't be similar. Fingerprints of windows and items are compared through an index of
-radius + 1 blocks: two fingerprints within the radius agree in one block at least, so none is missed. What
-is within the radius is verified by the exact weighted similarity of the shingles, weights being their
-counts. All of it is DataFrame expressions; the benchmark is broadcast only when counted to be small.
+item has. Windows are laid where a 5-word shingle of the text is one of an item's, aligned on it: a window
+that shares none with any item can't be similar to one. Each window is a candidate for the item it was laid for, and
+for those its fingerprint finds: fingerprints are looked up in an index of all items' radius + 1 blocks, whatever the item, so that all
+within the radius agree in one block at least. Every candidate is verified by the exact weighted similarity of the shingles,
+weights being their counts; no bound on fingerprints drops one, as a run of one repeated word weighs as much in a fingerprint as
+many different ones. All of it is DataFrame expressions; the benchmark is broadcast only when counted to be small.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def row_key(id_col: str, text: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 19, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 7, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """_key, id, item_id, start (word), hamming, similarity: for each text and item, its most similar window,
     where that reaches the threshold. Null and empty texts or items match nothing; repeated items are one."""
     items = benchmark.select("item_id", plain_words(F.col("text")).alias("_w")).filter("size(_w) > 0").dropDuplicates()
@@ -104,15 +105,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     # Texts are cut into words after the join, so only those with a window.
     texts = docs.select(row_key(id_col, text).alias("_key"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     found = lookup_join(texts, windows, ["_key"], "inner", spread_by=["_key"]).withColumn("_w", plain_words(F.col("_text"))).drop("_text")
-    found = lookup_join(found, items, ["item_id"], "inner", spread_by=["_key", "start"])
-    found = found.withColumn("window", shingles(F.slice("_w", F.col("start") + 1, F.col("item_words")))).drop("_w")
-    found = found.withColumn("print", simhash(F.col("window")))
+    found = lookup_join(found, items.select("item_id", "item_words"), ["item_id"], "inner", spread_by=["_key", "start"])
+    # Bound: left to itself, the optimizer cuts the window again for every shingle.
+    window = bind(F.slice("_w", F.col("start") + 1, F.col("item_words")), lambda w: shingles(w))
+    laid = stage(found.select(F.monotonically_increasing_id().alias("w"), "_key", "_id", "start", "item_id", window.alias("window")), "laid")
+    laid = laid.withColumn("print", bind(F.col("window"), lambda w: simhash(w)))
     # The index: fingerprints that agree in a block are compared in full.
-    probes = found.withColumn("p", F.explode(blocks(F.col("print"), radius))).select("*", "p.*").drop("p")
-    indexed = items.select(F.col("item_id"), F.explode(blocks(F.col("item_print"), radius)).alias("p")).select("item_id", "p.*")
-    near = lookup_join(probes, indexed, ["item_id", "block", "bits"], "inner", spread_by=["_key", "start"])
-    near = near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= radius)
-    near = near.dropDuplicates(["_key", "_id", "item_id", "start"])
+    probes = laid.select("w", "print", F.explode(blocks(F.col("print"), radius)).alias("p")).select("w", "print", "p.*")
+    indexed = items.select(F.col("item_id").alias("found_id"), "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("p")).select("found_id", "item_print", "p.*")
+    near = lookup_join(probes, indexed, ["block", "bits"], "inner", spread_by=["w"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    near = stage(near.select("w", "found_id").distinct(), "near-prints")
+    by_print = laid.drop("item_id").join(near, "w").withColumnRenamed("found_id", "item_id")
+    pairs = laid.unionByName(by_print).drop("w")
+    near = lookup_join(pairs, items, ["item_id"], "inner", spread_by=["_key", "start"])
+    near = near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
     sure = near.withColumn("similarity", similarity(F.col("window"), F.col("item_shingles"))).filter(F.col("similarity") >= threshold)
     best = sure.groupBy("_key", "_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("h"))).alias("m"))
     return best.select("_key", F.col("_id").alias(id_col), "item_id", (-F.col("m.s")).alias("start"), (-F.col("m.h")).alias("hamming"), F.col("m.similarity").alias("similarity"))
@@ -121,5 +127,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no benchmark item is found, unchanged."""
     leaky = find_leaks(docs.select("doc_id", "text"), benchmark).select("_key").distinct().withColumn("_leak", F.lit(True))
-    marked = lookup_join(docs.withColumn("_key", row_key("doc_id", "text")), stage(leaky, "leaks"), ["_key"], "left", spread_by=["_key"])
-    return marked.filter("_leak IS NULL").select(*docs.columns)
+    read = docs.select(row_key("doc_id", "text").alias("_key"), F.struct(*docs.columns).alias("row"))
+    return lookup_join(read, stage(leaky, "leaks"), ["_key"], "left", spread_by=["_key"]).filter("_leak IS NULL").select("row.*")
