@@ -155,8 +155,8 @@ IOC_LABELS = ["cves", "ipv4", "urls", "emails", "md5", "sha1", "sha256", "domain
 
 # Top-level domains that make a dotted name a domain, and the shorter list that marks
 # an entity as a domain.
-DOMAIN_TLDS = ("com net org io ru cn tk xyz top info biz online site club pw su ir in").split()
-ENTITY_NOISE_TLDS = ("com net org io ru cn tk xyz top info biz").split()
+DOMAIN_TLDS = ["com", "net", "org", "io", "ru", "cn", "tk", "xyz", "top", "info", "biz", "online", "site", "club", "pw", "su", "ir", "in"]
+ENTITY_NOISE_TLDS = ["com", "net", "org", "io", "ru", "cn", "tk", "xyz", "top", "info", "biz"]
 
 # The English stop words that Spark ML's StopWordsRemover loads by default. Entries
 # with an apostrophe never equal a term (terms hold word characters only) and are left out.
