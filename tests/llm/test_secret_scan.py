@@ -27,12 +27,29 @@ def every(text):
     for i, (kind, pattern, role, weak) in enumerate(KINDS):
         if weak:
             rows += [(m.start(), i, m.end(), kind, role, True) for m in re.finditer(pattern, text or "")]
-    near = lambda p, q: p[4] != q[4] and q[0] - p[2] <= SCOPE and p[0] - q[2] <= SCOPE
-    return sorted(p[:4] for p in rows if not p[5] or any(near(p, q) for q in rows))
+    near = lambda p, q: (p[4] == "secret") != (q[4] == "secret") and q[0] - p[2] <= SCOPE and p[0] - q[2] <= SCOPE
+    return sorted(p[:5] for p in rows if not p[5] or any(near(p, q) for q in rows))
+
+
+def groups(found):
+    out = []
+    for i, p in enumerate(found):
+        if p[4] != "secret":
+            continue
+        parts = [p]
+        for role in ("identifier", "place"):
+            before = [(max(p[0] - q[2], 0), q) for q in found[:i] if q[4] == role][-1:]
+            after = [(max(q[0] - p[2], 0), q) for q in found[i + 1 :] if q[4] == role][:1]
+            best = min([x for x in before + after if x[0] <= SCOPE], key=lambda x: x[0], default=None)
+            if best:
+                parts.append(best[1])
+        if len(parts) > 1:
+            out.append("+".join(f"{q[3]}:{q[0]}:{q[2]}" for q in parts))
+    return ",".join(out)
 
 
 def text_of(rows):
-    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in rows)
+    return ",".join(f"{r[3]}:{r[0]}:{r[2]}" for r in rows)
 
 
 def test_running_totals(spark):
@@ -54,9 +71,21 @@ def test_report_equals_the_plain_version(spark):
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(f[3] == k for f in want) for k in BASE)
         assert row.base_sha256 == hashlib.sha256(text_of(want).encode()).hexdigest()
         assert row.spans == text_of(every(text)), text
+        assert row.credentials == groups(every(text)), text
     assert secret_report(docs.limit(0)).count() == 0
 
 
 def test_weak_parts_need_company(spark):
-    docs = spark.createDataFrame([(1, "user=bob7 alone"), (2, "user=bob7 at https://db.example/x"), (3, "user=bob7 " + "w " * 200 + "https://db.example/x")], "doc_id BIGINT, text STRING")
-    assert [r.spans.count(":") // 2 for r in secret_report(docs).orderBy("doc_id").collect()] == [0, 2, 0]
+    """A secret needs an identifier or an endpoint, and those a secret; however long or short the secret is."""
+    random_ = "Zx9" + "aB3dE5" * 40
+    texts = ["user=bob7 alone", "user=bob7 at https://db.example/x", f"user=bob7 {random_}", "user=bob7 " + "w " * 200 + random_, f"key {random_}",
+             "login: alice, then xY7pQ2mN8rT4vW6zA1cD at https://db.example/x", "https://db.example/Zx9aB3dE5aB3dE5aB3dE5aB3dE5 user=bob7", "password=hunter22 user=bob7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = [r.credentials for r in secret_report(docs).orderBy("doc_id").collect()]
+    assert got == ["", "", "weak_secret:10:253+weak_id:0:9", "", "", "weak_secret:19:39+weak_id:0:12+endpoint:43:63", "", "assign:0:17+weak_id:18:27"]
+
+
+def test_long_runs_take_no_time(spark):
+    texts = ["a" * 300_000, "A1" * 150_000, "user=" + "z" * 300_000, "aB" * 150_000 + "3 user=bob7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    assert [r.credentials != "" for r in secret_report(docs).orderBy("doc_id").collect()] == [False, False, False, True]

@@ -1,9 +1,10 @@
 """Secrets in texts, with multipart credentials linked.
 
 Strong finds are reported as they are. Weak candidates (identifiers, random-looking strings, endpoints)
-are parts of a credential: one is reported only where a part of another role lies within its scope, a
-number of code points on either side. That interval join is made inside the row on the parts sorted by
-start: for each role the greatest end so far and the least start to come tell whether a part is near.
+are parts of a credential: a secret is reported only where an identifier or an endpoint lies within its scope, a
+number of code points on either side, and those two only where a secret does; an identifier beside an endpoint is none. That
+interval join is made inside the row on the parts sorted by start: for each role the greatest end so far and the least
+start to come tell whether a part is near. The secrets with the nearest parts of both other roles are the credentials found.
 All of it is DataFrame expressions, with no shuffle.
 """
 
@@ -21,8 +22,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 # Weak candidates.
-WEAK_ID = r"""(?<![A-Za-z0-9])(?:(?:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}|(?=[A-Z0-9]{0,19}[0-9])(?=[0-9]{0,19}[A-Z])(?!AKIA)[A-Z0-9]{16,20}(?![A-Za-z0-9]))"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/])"
+WEAK_ID = r"""(?<![A-Za-z0-9])(?:(?:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+|(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])(?!AKIA)[A-Z0-9]{16,}+(?![A-Za-z0-9]))"""
+# The look-aheads begin where a run begins, and stop at the first character that decides: linear, however long the run.
+WEAK_SECRET = r"(?<![A-Za-z0-9+/.:?=&%-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{20,}+={0,2}(?![A-Za-z0-9+/])"
 ENDPOINT = r"(?:https?|ftps?|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+"
 
 IDENTIFIER, SECRET, PLACE = "identifier", "secret", "place"
@@ -87,7 +89,7 @@ def parts(text: Column, kind: int) -> Column:
 
 
 def linked(found: Column, scope: int) -> Column:
-    """The strong parts, and the weak ones that a part of another role lies near."""
+    """The strong parts, and the weak ones near what makes them a credential: for a secret any other role, else a secret."""
     far = 1 << 60
 
     def body(p: Column) -> Column:
@@ -103,16 +105,49 @@ def linked(found: Column, scope: int) -> Column:
             lambda by_role: F.filter(
                 p,
                 lambda x, i: ~x["weak"]
-                | F.exists(by_role, lambda r: (r["role"] != x["role"]) & ((F.get(r["ends"], i) >= x["start"] - scope) | (F.get(r["starts"], i) <= x["end"] + scope))),
+                | F.exists(by_role, lambda r: ((r["role"] == SECRET) != (x["role"] == SECRET)) & ((F.get(r["ends"], i) >= x["start"] - scope) | (F.get(r["starts"], i) <= x["end"] + scope))),
             ),
         )
 
     return bind(found, body)
 
 
+def nearest(p: Column, role: str) -> tuple[Column, Column]:
+    """For every part the place of the last part of a role before it, -1 if none, and of the next one, the size if none."""
+    at = F.transform(p, lambda x, i: F.when(x["role"] == role, i))
+    last = running(F.transform(at, lambda i: F.coalesce(i, F.lit(-1))), F.greatest, F.lit(-1))
+    following = F.reverse(running(F.reverse(F.transform(at, lambda i: F.coalesce(i, F.size(p)))), F.least, F.size(p)))
+    return last, following
+
+
+def credentials(found: Column, scope: int) -> Column:
+    """Structs (secret, identifier, place) of the secrets with a part of another role in scope: of each role the one
+    that begins last before, if it is at least as near as the next one after."""
+    empty = F.array().cast("array<struct<secret:struct<start:bigint,rank:int,end:bigint,kind:string,role:string,weak:boolean>,identifier:struct<start:bigint,rank:int,end:bigint,kind:string,role:string,weak:boolean>,place:struct<start:bigint,rank:int,end:bigint,kind:string,role:string,weak:boolean>>>")
+
+    def body(p: Column) -> Column:
+        near = F.array(*[F.struct(last.alias("last"), following.alias("next")) for last, following in (nearest(p, IDENTIFIER), nearest(p, PLACE))])
+
+        def part(x: Column, i: Column, by_role: Column, k: int) -> Column:
+            last, following = F.get(p, F.get(F.get(by_role, F.lit(k))["last"], i)), F.get(p, F.get(F.get(by_role, F.lit(k))["next"], i))
+            before = F.when(last.isNotNull(), F.greatest(x["start"] - last["end"], F.lit(0)))
+            after = F.when(following.isNotNull(), F.greatest(following["start"] - x["end"], F.lit(0)))
+            return F.when((before <= scope) & (after.isNull() | (before <= after)), last).when(after <= scope, following)
+
+        return bind(
+            near,
+            lambda by_role: F.filter(
+                F.transform(p, lambda x, i: F.struct(F.when(x["role"] == SECRET, x).alias("secret"), part(x, i, by_role, 0).alias("identifier"), part(x, i, by_role, 1).alias("place"))),
+                lambda c: c["secret"].isNotNull() & (c["identifier"].isNotNull() | c["place"].isNotNull()),
+            ),
+        )
+
+    return F.when(F.size(found) > 1, bind(found, body)).otherwise(empty)
+
+
 def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """`docs` with `base` and `secrets`: sorted arrays of struct(start, rank, end, kind, role, weak), the finds of
-    the base patterns and those with linked weak parts. A null text counts as empty and has none."""
+    the base patterns and those with linked weak parts; and `credentials`, see there. A null text counts as empty and has none."""
     read = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     for k in range(len(KINDS)):
         read = read.withColumn(f"_p{k}", parts(F.col("_text"), k))
@@ -120,16 +155,22 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
     weak = [F.col(f"_p{k}") for k, kind in enumerate(KINDS) if kind[3]]
     read = read.withColumn("base", F.sort_array(F.concat(*base))).withColumn("_weak", F.concat(*weak))
     secrets = F.when(F.size("_weak") == 0, F.col("base")).otherwise(linked(F.sort_array(F.concat("base", "_weak")), scope))
-    return read.withColumn("secrets", secrets).drop("_text", "_weak", *[f"_p{k}" for k in range(len(KINDS))])
+    read = read.withColumn("secrets", secrets).withColumn("credentials", credentials(F.col("secrets"), scope))
+    return read.drop("_text", "_weak", *[f"_p{k}" for k in range(len(KINDS))])
+
+
+def label(part: Column) -> Column:
+    return F.concat_ws(":", part["kind"], part["start"].cast("string"), part["end"].cast("string"))
 
 
 def joined(found: Column) -> Column:
     """kind:start:end of each, comma-joined."""
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(found, label), ",")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """One row for each document: counts of the base kinds, their digest, and all spans as a string."""
+    """One row for each document: counts of the base kinds, their digest, all spans as a string, and the credentials: a secret and
+    the parts linked with it, joined by +."""
     found = scan_secrets(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
@@ -139,4 +180,5 @@ def secret_report(docs: DataFrame) -> DataFrame:
         count("hex").alias("n_hex"),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
+        F.array_join(F.transform("credentials", lambda c: F.concat_ws("+", *[F.when(c[r].isNotNull(), label(c[r])) for r in (SECRET, IDENTIFIER, PLACE)])), ",").alias("credentials"),
     )
