@@ -67,3 +67,12 @@ def test_stage_drops_emptied_documents_and_keeps_columns(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.n_chars) for r in got.collect() if r.doc_id < 4) == [(1, len(line)), (3, 0)] and got.count() == 3
     assert dedupe_lines(docs.limit(0)).count() == 0
+
+
+def test_caller_columns_of_our_names_stay(spark):
+    line = "a line that is long enough to count"
+    docs = spark.createDataFrame([(1, line, 5, "x", 7), (2, f"{line}\nother", 6, "y", 8)], "doc_id BIGINT, text STRING, _gone INT, _key STRING, _lines INT")
+    got = sorted(tuple(r) for r in dedupe_lines(docs).collect())
+    assert got == [(1, line, 5, "x", 7, 1, 0), (2, "other", 6, "y", 8, 2, 1)]
+    named = spark.createDataFrame([(1, line, 5, "x"), (2, line, 6, "y")], "doc_id BIGINT, text STRING, n_lines INT, lines_removed STRING")
+    assert [tuple(r) for r in drop_repeated_lines(named).collect()] == [(1, line, 5, "x")]

@@ -166,17 +166,22 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST) ->
     gone = stage(repeated.select("hash", "first").join(near, "hash", "full"), "lines-gone")
     hit = lookup_join(lines.drop("line"), gone, ["hash"], "inner", spread_by=["key", "pos"])
     out = hit.filter((F.col("near")) | (F.struct("doc", "key", "pos") != F.col("first"))).groupBy(F.col("key").alias("_key")).agg(F.collect_set("pos").alias("_gone"))
-    read = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(out, "_key", "left")
-    read = read.withColumn("_lines", F.split("text", "\n"))
+    # The caller's columns stay in one of their own, so that no name of theirs meets one of ours.
+    read = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    read = lookup_join(read, stage(out, "line-places"), ["_key"], "left", spread_by=["_key"]).withColumn("_lines", F.split("_text", "\n"))
     kept = F.array_join(F.filter("_lines", lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    read = read.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    read = read.withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")))
-    read = read.withColumn("lines_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
-    return read.select(*docs.columns, *[c for c in ("n_lines", "lines_removed") if c not in docs.columns])
+    made = {
+        "text": F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept),
+        "n_lines": F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")),
+        "lines_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")),
+    }
+    names = [*docs.columns, *[c for c in ("n_lines", "lines_removed") if c not in docs.columns]]
+    return read.select(*[made[c].alias(c) if c in made else F.col(f"_row.{c}").alias(c) for c in names])
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with the texts that are left, n_chars to match; documents of which nothing is left go."""
-    read = dedupe_lines(docs)
+    """`docs` with the texts that are left, n_chars to match; documents of which nothing is left go. Other columns stay as they are."""
+    read = dedupe_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole")))
     left = (F.col("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return read.filter(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return read.filter(left).select(*[made[c].alias(c) if c in made else F.col(f"whole.{c}").alias(c) for c in docs.columns])
