@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.core import bind
 from ..operators.joins import lookup_join
-from ..operators.metrics import counted
 from ..sources.staging import stage
 from .words import SPACE, word_array
 
@@ -157,10 +156,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, unchanged. Columns of any name but those starting with an
     underscore may stand beside doc_id, text and lang."""
-    columns = docs.columns
-    measured = stage(quality_metrics(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "quality"), "quality")
+    # Numbers are computed once and staged with a key of the row; rows of one key are equal in all that is judged.
+    key = F.xxhash64("doc_id", "text", "lang")
+    measured = stage(quality_metrics(docs.select(key.alias("_key"), "doc_id", "text", "lang")).select("_key", "doc_id", "lang", "quality"), "quality")
     cutoffs = stage(choose_cutoffs(measured, labels), "cutoffs")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", "lang")
-    # Without the barrier the filter would be moved to the scan, and the numbers computed once for each use there.
-    judged = judge(counted(quality_metrics(row), "quality"), cutoffs)
-    return judged.filter("kept").select("_row.*")
+    gone = stage(judge(measured, cutoffs).filter("NOT kept").select("_key").distinct(), "rejected-rows")
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return lookup_join(rows, gone, ["_key"], "left_anti", spread_by=["_key"]).select("_row.*")
