@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
+from .rows import row_slices
+
 MOST_PHRASES = 50_000
 
 
@@ -50,14 +52,14 @@ def parts(phrases: DataFrame, keys: list[str], most: int = MOST_PHRASES) -> list
 
 
 def with_computed(df: DataFrame, out: str, kind: str, by: Column, compute: Callable[[list], list]) -> DataFrame:
-    """`df` with the column `out` of type `kind`: what `compute` makes of the values of `by` in a batch. Other columns pass
+    """`df` with the column `out` of type `kind`: what `compute` makes of the values of `by` in some rows. Other columns pass
     through; one of that name is replaced."""
     read = df.withColumn("_by", by).drop(out)
     made: DataType = _parse_datatype_string(kind)
     arrow = to_arrow_type(made, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches):
             found = pa.array(compute(batch.column(batch.num_columns - 1).to_pylist()), arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], out])
 
