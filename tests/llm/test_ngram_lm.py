@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from warnloom.llm.ngram_lm import LEVELS, Bigrams, EliasFano, NgramTrie, Pairs, language_model, merged_trie, planes
+from warnloom.llm import ngram_lm
+from warnloom.llm.ngram_lm import LEVELS, Bigrams, EliasFano, NgramTrie, Pairs, language_model, mapped_answers, merged_trie, planes
 from warnloom.llm.words import table
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -41,6 +42,25 @@ def test_trie_and_its_files(tmp_path):
         assert (got[: len(codes)][counts < 128] == counts[counts < 128]).all()
 
 
+def test_shards_answer_from_mapped_levels(monkeypatch, tmp_path):
+    contexts = np.sort(np.random.default_rng(2).integers(0, 1 << 62, 50).astype(np.uint64))
+    pairs = Pairs.of(np.repeat(contexts, 3), np.tile(np.array([1, 5, 9], np.uint64), 50))
+    counts = np.arange(150, dtype=np.uint32)
+    kinds = []
+    ask = NgramTrie.ask_words
+
+    def watched(trie, *args):
+        kinds.extend(type(x) for x in (trie.counts, trie.contexts.low, trie.contexts.high, trie.pointers.high, trie.successors.low))
+        return ask(trie, *args)
+
+    monkeypatch.setattr(ngram_lm.tempfile, "tempdir", str(tmp_path))
+    monkeypatch.setattr(NgramTrie, "ask_words", watched)
+    told, n = mapped_answers([(pairs, counts), (pairs, counts)])
+    assert n == 149 and all((LEVELS[x] == 2 * counts).all() for x in told)
+    assert set(kinds) == {np.memmap} and not list(tmp_path.iterdir())
+    assert mapped_answers([(pairs, 0 * counts)])[1] == 0
+
+
 def test_counts_of_any_size_are_close():
     counts = np.array([1, 4095, 4096, 23_124_960, 30_000_000, 7 * 10**12, 2**62])
     got = LEVELS[NgramTrie.of(np.arange(1, 8, dtype=np.uint64), counts).ask(np.arange(1, 8, dtype=np.uint64))]
