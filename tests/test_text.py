@@ -86,3 +86,25 @@ def test_files_are_decoded_and_sorted_by_kind(spark, tmp_path):
     assert {(r.filename, r.reason.split()[0]) for r in rejected.collect()} == {
         ("y.pdf", "pdf"), ("z.exe", "unsupported"), ("txt", "unsupported"),
     }
+
+
+def test_words_are_counted_without_translation_where_blanks_are_plain(report):
+    plain, odd = ["a b\n c  d", " \n", "é\n\nx"], ["a\tb", "x y z", "a b\x1cc", "a\rb"]
+    assert evaluate(report(*plain, *odd), T.has_odd_blanks(F.array("text"))) == [False] * 3 + [True] * 4
+    assert evaluate(report(*plain), T.plain_words(F.col("text"))) == [len(t.split()) for t in plain]
+
+
+def test_scans_look_at_the_first_characters_and_find_the_same(report):
+    from warnloom.functions import indicators as I, names as N, timeline as D
+    from warnloom.functions.core import find_all
+
+    texts = [
+        "WannaCry, xwannacry Zeuſ CİSCO cısco K linux_ Windows Server windows serve fancy bear ios. apt28x APT29",
+        "on 3 May 2021, ٣ june 2020 ſeptember 1, 2021 xmay 1 2020 March 12 2026 2026-01-02 12/1/20 ١/٢/٣٤ a1/2/20",
+        "10.0.0.1 x10.0.0.1 ١.٢.٣.٤ 1.2.3 999.1.1.1",
+    ]
+    for pattern in (N.NAMES, D.DATE, I.IPV4):
+        begin = pattern.index("(?=")
+        assert begin == pattern.index(")") + 1
+        plain = pattern[:begin] + pattern[pattern.index(r"\b") :]
+        assert evaluate(report(*texts), find_all(F.col("text"), pattern)) == evaluate(report(*texts), find_all(F.col("text"), plain))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from .lexicons import ENTITY_NOISE_TLDS, MALWARE_NAMES, PRODUCT_NAMES
 
 
 def name_pattern(names) -> str:
+    """Names as whole tokens, the longest first. What a name can begin with is tried before the boundary, which costs more."""
     longest_first = sorted(set(names), key=lambda n: (-len(n), n))
-    return r"(?iU)\b(?:" + "|".join(longest_first) + r")\b"
+    begin = "".join(f"[{''.join(re.escape(c) for c in sorted(set(letters)))}]" for letters in zip(*(n[:3] for n in longest_first)))
+    return rf"(?iU)(?={begin})\b(?:" + "|".join(longest_first) + r")\b"
 
 
 NAMES = name_pattern([*MALWARE_NAMES, *PRODUCT_NAMES])

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import bind
-from .text import space_words
+from .text import has_odd_blanks, plain_words, space_words
 
 SUMMARY_SENTENCES = 4
 MIN_WORDS, MAX_WORDS = 5, 60
@@ -22,20 +22,20 @@ def scored(sentences: Column, found: Column) -> Column:
     `found` holds the terms of the whole text, so only those few are looked for in a sentence.
     """
 
-    def measured(terms: Column) -> Column:
+    def measured(terms: Column, odd: Column) -> Column:
         return F.transform(
             sentences,
             lambda s, i: F.struct(
                 bind(
                     F.lower(s), lambda low: F.size(F.filter(terms, lambda k: F.contains(low, k)))
                 ).alias("hits"),
-                F.greatest(space_words(s), F.lit(1)).alias("words"),
+                F.greatest(F.when(odd, space_words(s)).otherwise(plain_words(s)), F.lit(1)).alias("words"),
                 i.alias("i"),
                 s.alias("s"),
             ),
         )
 
-    return scored_measures(sentences, bind(found, measured))
+    return scored_measures(sentences, bind(has_odd_blanks(sentences), lambda odd: bind(found, lambda terms: measured(terms, odd))))
 
 
 def scored_measures(sentences: Column, measured: Column) -> Column:
