@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scans
 from .core import dedupe_ci, find_all, sql_text, strip
 from .lexicons import ENTITY_NOISE_TLDS, MALWARE_NAMES, PRODUCT_NAMES
 
@@ -31,7 +32,8 @@ ENTITY_NOISE = (
 
 def names_in(text: Column) -> Column:
     """Every known malware or product name in text order, repeats included."""
-    return find_all(text, NAMES)
+    listed = scans.may_hold(text, [*MALWARE_NAMES, *PRODUCT_NAMES])
+    return F.when(listed, find_all(text, NAMES)).otherwise(F.array().cast("array<string>"))
 
 
 def without_names(text: Column) -> Column:

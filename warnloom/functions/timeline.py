@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scans
 from .core import WS, bind, find_all, first_per_key
 from .text import sentences
 
@@ -58,12 +59,18 @@ def is_bare_year(date: Column) -> Column:
 
 def dated_sentences(text: Column, undated: bool = False) -> Column:
     """Structs (sent_idx, sentence, dates) of the sentences of a text that hold a date, or of all."""
-    numbered = F.transform(
-        sentences(mark_dates(text)), lambda s, i: F.struct(i.alias("i"), s.alias("s"))
-    )
-    if not undated:
+    if undated:
+        numbered = F.transform(
+            sentences(mark_dates(text)), lambda s, i: F.struct(i.alias("i"), s.alias("s"))
+        )
+    else:
+        # Only sentences that can hold a date are searched for one: none reaches over a sentence's end.
+        can = scans.dated(text)
+        numbered = F.zip_with(
+            F.split(mark_dates(can["text"]), scans.BREAK), can["at"], lambda s, i: F.struct(i.alias("i"), s.alias("s"))
+        )
         numbered = F.filter(numbered, lambda n: F.contains(n["s"], F.lit(_OPEN)))
-    dated = F.transform(
+    return F.transform(
         numbered,
         lambda n: F.struct(
             n["i"].alias("sent_idx"),
@@ -71,11 +78,6 @@ def dated_sentences(text: Column, undated: bool = False) -> Column:
             marked_dates(n["s"]).alias("dates"),
         ),
     )
-    if undated:
-        return dated
-    # Most texts hold no date; they are not marked and cut up.
-    nothing = F.array().cast("array<struct<sent_idx: int, sentence: string, dates: array<string>>>")
-    return F.when(text.rlike(DATE), dated).otherwise(nothing)
 
 
 def mentions(text: Column, yearless: bool = False) -> Column:

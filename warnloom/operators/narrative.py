@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scans
 from ..functions import summary as S
 from ..functions import timeline as D
 from ..functions.text import sentences
@@ -30,7 +31,10 @@ def score_sentences(df: DataFrame) -> DataFrame:
 
 
 def summarize(df: DataFrame, n: int = S.SUMMARY_SENTENCES) -> DataFrame:
-    """Add `summary`."""
+    """Add `summary`, of the text's own sentences or those that the rows have."""
+    if "sentences" not in df.columns:
+        found = _found(df)
+        return found.withColumn("summary", scans.summary(F.col("text"), F.col("found_keywords"), n, S.MIN_WORDS, S.MAX_WORDS))
     return with_sentences(_found(df)).withColumn(
         "summary", S.summary(F.col("sentences"), F.col("found_keywords"), n)
     )
