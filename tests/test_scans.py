@@ -36,3 +36,32 @@ def test_the_analysis_tries_few_patterns_on_every_text(report):
     plan = analyze_reports(T.clean_text(report("x")))._jdf.queryExecution().optimizedPlan().toString()
     # Keywords, words and sentences are scanned in Python; nothing is cut into sentences by a pattern.
     assert "BatchEvalPython" in plan and "regexp_count" not in plan and "wannacry" in plan
+
+
+EDGES = [
+    None, "", "wıde eMOTET,emotet EMOTETs\nemotet́ cobalt strike windowsemotet windows", "CVE-2024-1234567 cve-2024-12345678 xCVE-2024-1111 Cve-2023-28252cve-2023-28253 cve-٢٠٢٤-1000,cve-2024-100",
+    "a@b.co, a@b.co;x@y.org\x85@ @@ a@b.c q@r.com.@s.de", "a..b.com .c.net. x.com.y z.org\nfoo.bar.ru/x-y.com é.com a.comé", "a" * 65 + " " + "0" * 40 + "," + "F" * 64 + "\x1c" + "b" * 32 + "é",
+    "On 3 March 2024. In Auguﬆ 2024. 3 Auguſt 2024 here. MAY 5, 2024! Room 2024 is free. 1/2/24? 5 mAy 2023.", "HXXPS://x.com hXxp://y.net ahxxp:// xxp",
+]
+
+
+@pytest.mark.parametrize("guarded,pattern,group", [(N.names_in, N.NAMES, 0), (I.cves, I.CVE, 0), (I.hashes, I.HASH, 0), (I.emails, I.EMAIL, 1), (I.domains, I.DOMAIN, 1)])
+def test_parts_of_a_text_lose_no_match(report, guarded, pattern, group):
+    df = report(*TEXTS, *EDGES)
+    whole = F.regexp_replace("text", r"\.(?=\.)", ". ") if guarded is I.domains else F.col("text")
+    rows = df.select("text", guarded(F.col("text")).alias("a"), F.regexp_extract_all(whole, F.lit(pattern), F.lit(group)).alias("b")).collect()
+    assert all((r.a or []) == (r.b or []) for r in rows) and sum(len(r.a or []) for r in rows) > 2
+
+
+def test_words_and_dates_are_those_of_patterns(report):
+    texts = [t for t in TEXTS + EDGES if t]
+    assert [scans.count_words(t) for t in texts] == [len(scans._WORDS.findall(t)) for t in texts]
+    for r in report(*texts).select("text", D.dated_sentences(F.col("text")).alias("a"), D.dated_sentences(F.col("text"), undated=True).alias("b")).collect():
+        assert r.a == [x for x in r.b if x.dates]
+    assert T.refang(report(EDGES[-1])).first().text == "https://x.com http://y.net ahxxp:// xxp"
+
+
+def test_patterns_read_parts_of_a_text_only(report):
+    df = report("x").select("text", N.names_in(F.col("text")).alias("a"), I.cves(F.col("text")).alias("b"), I.emails(F.col("text")).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(pythonUDF" in plan and "regexp_extract_all(text" not in plan

@@ -32,8 +32,8 @@ ENTITY_NOISE = (
 
 def names_in(text: Column) -> Column:
     """Every known malware or product name in text order, repeats included."""
-    listed = scans.may_hold(text, [*MALWARE_NAMES, *PRODUCT_NAMES])
-    return F.when(listed, find_all(text, NAMES)).otherwise(F.array().cast("array<string>"))
+    around = scans.near(text, [*MALWARE_NAMES, *PRODUCT_NAMES], 1)
+    return F.when(around == "", F.array().cast("array<string>")).otherwise(find_all(around, NAMES))
 
 
 def without_names(text: Column) -> Column:
