@@ -65,3 +65,11 @@ def test_patterns_read_parts_of_a_text_only(report):
     df = report("x").select("text", N.names_in(F.col("text")).alias("a"), I.cves(F.col("text")).alias("b"), I.emails(F.col("text")).alias("c"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all(pythonUDF" in plan and "regexp_extract_all(text" not in plan
+
+
+@pytest.mark.parametrize("phrases", [["c2", "ip ", "apt", "cve-", "zero day", "x"], ["emotet", *"abcdef"]])
+def test_candidates_leave_out_no_phrase(phrases):
+    find = scans._candidates(phrases)
+    texts = [t.lower() for t in [*TEXTS, *EDGES, "c2", "ap", "apt", "zero dayé", "ip x"] if t]
+    assert all({k for k in phrases if k in t} <= set(find(t)) for t in texts)
+    assert scans._candidates(["emotet"] * 6)("emote motel") == [] and find("") == [k for k in phrases if len(k) < 3]
