@@ -137,3 +137,12 @@ def test_small_inputs_are_spread_and_large_ones_left_alone(spark, stored):
     assert spread_input(stored.coalesce(1)).rdd.getNumPartitions() == cores
     many = stored.repartition(cores + 1)
     assert spread_input(many) is many
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_a_lookup_table_beyond_the_bound_is_never_broadcast(spark, how):
+    big = spark.range(1000).select(F.col("id"), (F.col("id") % 40).alias("key"))
+    lookup = stage(spark.range(30).select(F.col("id").alias("key")), "lookup")  # a small file, so the optimizer would
+    joined = lookup_join(big, lookup, ["key"], how, spread_by=["id"], broadcast_rows=29)
+    assert "Broadcast" not in plan_of(joined)
+    assert joined.count() == {"left": 1000, "left_anti": 250}.get(how, 750)

@@ -114,12 +114,11 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang"
     `measured` has the id, the stratum and `quality`; labels have the id and `quality`, 1 for good. Repeated
     labels count as good if any is; null ones are left out."""
     good = labels.filter("quality = 1").select(F.col(id_col).alias("_id")).distinct()
-    held = measured.filter("NOT quality.base_failed").select(
-        F.col(id_col).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), F.explode(rule_values()).alias("r")
-    )
+    held = measured.filter("NOT quality.base_failed").select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), "quality")
+    held = lookup_join(held, good, ["_id"], "left_semi").select("_stratum", F.explode(rule_values()).alias("r"))
     grid = F.expr("CASE r.rule " + " ".join(f"WHEN '{name}' THEN array({', '.join(map(repr, g))})" for name, (_, g) in RULES.items()) + " END").cast("array<double>")
     # Values reject at the grid points below them: all from the first such point on.
-    held = held.join(good, "_id").select("_stratum", "r.rule", F.size(F.filter(grid, lambda c: c >= F.col("r.value"))).alias("spared"))
+    held = held.select("_stratum", "r.rule", F.size(F.filter(grid, lambda c: c >= F.col("r.value"))).alias("spared"))
     counts = held.groupBy("_stratum", "rule", "spared").agg(F.count("*").alias("n"))
     by_rule = counts.groupBy("_stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("spared", F.col("n").alias("k"))).alias("seen"))
     by_rule = stage(by_rule, "quality-counts")  # a row for each stratum and rule
