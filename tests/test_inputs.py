@@ -43,8 +43,8 @@ def test_files_are_read_as_their_documents(spark, tables):
     assert got == sorted(["one two three. " * 10, "one two three. " * 10, "", "", "late\nlines\n", "same id\nagain"])
 
 
-def test_turns_of_every_hundredth_conversation_are_asked(spark, tables):
-    assert {r.query_id for r in queries.conversation_turns(spark, tables).collect()} == {"0-0", "100-1"}
+def test_turns_of_every_conversation_are_asked(spark, tables):
+    assert {r.query_id for r in queries.conversation_turns(spark, tables).collect()} == {"0-0", "7-0", "100-1", None}
 
 
 def test_phrases_are_searched_for_in_a_few_rows_at_once(spark):
