@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from warnloom.catalog import corpus, queries
 from warnloom.operators import automaton, similarity
 from warnloom.operators.rows import row_slices
+from warnloom.sources import files
 
 
 @pytest.fixture
@@ -71,3 +72,31 @@ def test_weights_of_many_reports_are_those_of_each(spark):
 def test_the_folder_of_files_is_plain(spark, tables, tmp_path):
     corpus.write_text_files(spark, tables, str(tmp_path / "again"))
     assert not [p for p in Path(tmp_path / "again").rglob("*") if p.name.startswith((".", "_"))]
+
+
+def test_files_are_listed_as_by_the_binary_source(spark, tmp_path):
+    root = tmp_path / "in"
+    names = ["a.txt", "B.TXT", "c.pdf", "none", ".h.txt", "_h.txt", "_k=1.txt", "x y%20.txt", "é.txt", "d/e.txt", "d/f/g.TxT", ".d/h.txt", "_d/h.txt", "_k=2/i.txt", "z.txt/j.txt", "w.txt._COPYING_"]
+    for n, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"caf\xe9 " * n)
+    (root / "empty").mkdir()
+    (root / "l.txt").symlink_to(root / "B.TXT")
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]").option("recursiveFileLookup", "true").load(str(root))
+    want = sorted(map(tuple, files.decode_report_files(source).collect()))
+    for path in (str(root), f"file://{root}/"):
+        assert sorted(map(tuple, files.read_text_reports(spark, path).collect())) == want
+    assert {r[1] for r in want} >= {"l.txt", "B.TXT", "x y%20.txt", "g.TxT", "i.txt", "j.txt"} and len(want) == 9
+    assert sorted(map(tuple, files.read_text_reports(spark, f"{root}/d*").collect())) == [r for r in want if r[1] in ("e.txt", "g.TxT")]
+    assert files.read_text_reports(spark, str(root / "empty")).collect() == []
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    for n in range(100 * cores):
+        (tmp_path / f"{n}.txt").write_text(str(n))
+    monkeypatch.setattr(files, "READ_BYTES", 50)
+    monkeypatch.setattr(files, "LISTED_ROWS", 30)
+    read = files.read_text_reports(spark, str(tmp_path))
+    assert "binaryFile" not in read._jdf.queryExecution().executedPlan().toString() and read.rdd.getNumPartitions() == 4 * cores
+    assert sorted(int(r.text) for r in read.collect()) == list(range(100 * cores))
